@@ -7,9 +7,25 @@ from pyspark.sql import functions as F
 
 from ..operators.delivery import redelivered, seen_ranges
 from ..operators.sessions import activity_sessions
+from ..operators.timestamps import repairs, resolve_times
 from ..runtime import table
 
 
+def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "staged_messages", "row_id", "import_batch_id", "sequence", "raw_time", "occurred_at")
+    batches = table(spark, sf_dir, "chat_import_batches", "id", "locale", "source_timezone", "base_year", "exported_at")
+    return rows, resolve_times(rows, batches)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, resolved = _resolved(spark, sf_dir)
+    return repairs(rows, resolved)
+
+
+def p3_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)[1].select("row_id", F.timestamp_micros("utc_us").alias("utc"), F.col("utc_us").isNotNull().alias("resolved"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "timeline", "id", "event_type", "session_id", "subject_id", "message_id", "dedupe_key", "created_at")
     return redelivered(rows).select("id")
@@ -48,7 +64,7 @@ WITH m AS (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_seen_ranges, p6_found, p6_sessions)}
+    return {f.__name__: f for f in (p3_found, p3_times, p5_found, p5_seen_ranges, p6_found, p6_sessions)}
 
 
 def oracle_sql() -> dict[str, str]:
