@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import conversations as talks
+from .canonical import canonicalise, recognise
 
 TIMELINE = ("id", "event_type", "session_id", "content", "message_id", "occurred_at", "created_at", "source_sequence")
 
@@ -26,8 +27,16 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(usable, "conversation").select("session_id", F.floor(F.col("start_us") / 1000).alias("start_ms"), "id", "role", "block", "turn")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognise(table(spark, sf_dir, "staged_messages", "row_id", "content", "speaker"), table(spark, sf_dir, "known_strings"), ["content", "speaker"])
+
+
+def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonicalise(table(spark, sf_dir, "staged_messages", "row_id", "content", "speaker"), ["content", "speaker"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_turns)}
+    return {f.__name__: f for f in (p2_found, p2_turns, p7_found, p7_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
