@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import conversations as talks
+from . import neardup
 from .canonical import canonicalise, recognise
 
 TIMELINE = ("id", "event_type", "session_id", "content", "message_id", "occurred_at", "created_at", "source_sequence")
 
 
+#: Similarity of memories that restate the same note: 0.6, in integers.
+NOTE_SIMILARITY = (3, 5)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "memories", "id", "content"), "id", "content", *NOTE_SIMILARITY)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "memories", "id", "content"), "id", "content", *NOTE_SIMILARITY)
+
+
 def _talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return talks.rebuild(table(spark, sf_dir, "timeline", *TIMELINE))
 
@@ -36,11 +49,24 @@ def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_turns, p7_found, p7_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": r"""
+WITH r AS (
+  SELECT id, unnest(regexp_extract_all(regexp_replace(lower(content), '([\x{4e00}-\x{9fff}]+)', ' \1 ', 'g'), '[\p{L}\p{N}]+')) AS run FROM memories
+), t AS (
+  SELECT DISTINCT id, tok FROM (
+    SELECT id, unnest(list_transform(range(1, length(run)), lambda i: substr(run, i, 2))) AS tok
+    FROM r WHERE regexp_matches(run, '^[\x{4e00}-\x{9fff}]{2,}$')
+    UNION ALL SELECT id, run FROM r WHERE NOT regexp_matches(run, '^[\x{4e00}-\x{9fff}]{2,}$'))
+), n AS (SELECT id, count(*) AS n FROM t GROUP BY id
+), s AS (
+  SELECT x.id AS a, y.id AS b, count(*) AS shared FROM t x JOIN t y ON x.tok = y.tok AND x.id < y.id GROUP BY 1, 2
+)
+SELECT a AS id_a, b AS id_b FROM s JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE shared * 5 >= (p.n + q.n - shared) * 3""",
         "p2_found": r"""
 WITH m AS (
   SELECT *, epoch_us(occurred_at) AS us FROM timeline
