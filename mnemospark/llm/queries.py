@@ -9,6 +9,9 @@ from ..runtime import table
 from . import conversations as talks
 from . import neardup
 from .canonical import canonicalise, recognise
+from .mixing import mix, mix_report
+from .packing import fill_report, pack_documents
+from .tokens import with_token_counts
 
 TIMELINE = ("id", "event_type", "session_id", "content", "message_id", "occurred_at", "created_at", "source_sequence")
 
@@ -48,8 +51,34 @@ def p7_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonicalise(table(spark, sf_dir, "staged_messages", "row_id", "content", "speaker"), ["content", "speaker"])
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    specs = table(spark, sf_dir, "pack_specs", "spec_id", "capacity_tokens")
+    return pack_documents(with_token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "text"), specs), specs
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(*_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix(with_token_counts(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), "text"), targets), targets
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(*_mixed(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical, p8_pack, p8_report, p9_mix, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
