@@ -11,6 +11,7 @@ from . import neardup
 from .canonical import canonicalise, recognise
 from .mixing import mix, mix_report
 from .packing import fill_report, pack_documents
+from .sentences import sentences
 from .tokens import with_token_counts
 
 TIMELINE = ("id", "event_type", "session_id", "content", "message_id", "occurred_at", "created_at", "source_sequence")
@@ -77,8 +78,12 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(*_mixed(spark, sf_dir))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical, p8_pack, p8_report, p9_mix, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical, p8_pack, p8_report, p9_mix, p9_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
