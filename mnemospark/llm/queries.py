@@ -11,6 +11,7 @@ from . import neardup
 from .canonical import canonicalise, recognise
 from .mixing import mix, mix_report
 from .packing import fill_report, pack_documents
+from .personal import personal_kinds, redact
 from .sentences import sentences
 from .tokens import with_token_counts
 
@@ -44,6 +45,18 @@ def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(usable, "conversation").select("session_id", F.floor(F.col("start_us") / 1000).alias("start_ms"), "id", "role", "block", "turn")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "identities", "display_name")
+    found = [personal_kinds(table(spark, sf_dir, name, "id", "content"), "id", "content", people).select(F.lit(name).alias("table_name"), "id", "kind") for name in ("timeline", "memories")]
+    return found[0].unionByName(found[1])
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "identities", "display_name")
+    clean = [redact(table(spark, sf_dir, name, "id", "content"), "content", people).select(F.lit(name).alias("table_name"), "id", "content") for name in ("timeline", "memories")]
+    return clean[0].unionByName(clean[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise(table(spark, sf_dir, "staged_messages", "row_id", "content", "speaker"), table(spark, sf_dir, "known_strings"), ["content", "speaker"])
 
@@ -83,7 +96,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p7_found, p7_canonical, p8_pack, p8_report, p9_mix, p9_report, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_turns, p4_found, p4_redacted, p7_found, p7_canonical, p8_pack, p8_report, p9_mix, p9_report, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
