@@ -156,12 +156,16 @@ def _date_ok(y: Column, m: Column, d: Column) -> Column:
     return y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= _month_length(y, m))
 
 
-def _instant(local_us: Column, off: Column, zone: Column) -> Column:
-    """UTC microseconds of a wall clock: by its offset, else in ``zone`` the first time it is shown; null if it never is."""
-    wall = F.timestamp_micros(local_us)
-    utc = F.to_utc_timestamp(wall, zone)
-    shown = F.when(F.from_utc_timestamp(utc, zone) == wall, F.unix_micros(utc))
-    return F.when(off.isNotNull(), local_us - off * 60_000_000).otherwise(shown)
+def _with_instant(df: DataFrame, name: str, local_us: Column) -> DataFrame:
+    """Adds ``name``, the UTC microseconds of a wall clock: by off, else in zone the first time it is shown; null if it never is.
+
+    Each step is a column of its own: the planner then computes it once,
+    where nested expressions would be repeated in the generated code.
+    """
+    df = df.withColumn("__local", local_us)
+    df = df.withColumn("__wall", F.timestamp_micros("__local")).withColumn("__utc", F.to_utc_timestamp("__wall", F.col("zone")))
+    shown = F.when(F.from_utc_timestamp("__utc", F.col("zone")) == F.col("__wall"), F.unix_micros("__utc"))
+    return df.withColumn(name, F.when(F.col("off").isNotNull(), F.col("__local") - F.col("off") * 60_000_000).otherwise(shown)).drop("__local", "__wall", "__utc")
 
 
 def _turn(before: Column, now: Column) -> Column:
@@ -203,9 +207,9 @@ def resolve_times(
     )
     rows = df.select(F.col(row_id).alias("__row"), F.col(batch).alias("__batch"), F.col(sequence).cast("bigint").alias("__seq"), F.when(F.length(raw) <= 200, F.col(raw)).alias("__raw"))
     rows = rows.join(small(b), F.col("__batch") == F.col("__b"), "left")
-    known = sorted(zoneinfo.available_timezones())
-    zone = F.coalesce("__zone", F.lit(default_zone))
-    zone = F.when(zone.isin(known), zone)
+    known = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    rows = rows.withColumn("__zone", F.coalesce("__zone", F.lit(default_zone)))
+    zone = F.expr(f"CASE WHEN __zone IN ({known}) THEN __zone END")
     p = rows.select("__row", "__batch", "__seq", "__locale", "__base", "__exported", zone.alias("zone"), _components("__raw").alias("p")).select("*", "p.*").drop("p")
     p = p.withColumn("off", F.when(F.col("cst") & F.col("zone").isin("Asia/Shanghai", "Asia/Taipei", "Asia/Hong_Kong"), 480).otherwise(F.col("off")))
     first, second = F.col("first"), F.col("second")
@@ -214,7 +218,7 @@ def resolve_times(
     today = F.unix_date(F.to_date(F.from_utc_timestamp("__exported", F.col("zone"))))
     dated = F.when(_date_ok(F.col("y"), F.col("mo"), F.col("d")), _days(F.col("y"), F.col("mo"), F.col("d")) * DAY_US + F.col("us"))
     local = F.when(F.col("back").isNotNull(), (today - F.col("back")) * DAY_US + F.col("us")).otherwise(dated)
-    p = p.withColumn("full_us", F.coalesce("unix_us", _instant(local, F.col("off"), F.col("zone"))))
+    p = _with_instant(p, "clock_us", local).withColumn("full_us", F.coalesce("unix_us", "clock_us"))
     yearless = F.col("y").isNull() & F.col("back").isNull() & _date_ok(F.lit(2000), F.col("mo"), F.col("d")) & F.col("zone").isNotNull()
     p = p.withColumn("yearless", F.coalesce(yearless, F.lit(False)))
     p = cut(p.select("__row", "__batch", "__seq", "__base", "zone", "mo", "d", "us", "off", "full_us", "yearless"))
@@ -249,7 +253,7 @@ def resolve_times(
     columns = ["__row", "zone", "mo", "d", "us", "off", "y"]
     years = years.select(*columns).unionByName(alone.select(*columns))
     filled = F.when(_date_ok(F.col("y"), F.col("mo"), F.col("d")), _days(F.col("y"), F.col("mo"), F.col("d")) * DAY_US + F.col("us"))
-    done = p.where(~F.col("yearless")).select("__row", "full_us").unionByName(years.select("__row", _instant(filled, F.col("off"), F.col("zone")).alias("full_us")))
+    done = p.where(~F.col("yearless")).select("__row", "full_us").unionByName(_with_instant(years, "full_us", filled).select("__row", "full_us"))
     return done.select(F.col("__row").alias(row_id), F.col("full_us").alias("utc_us"))
 
 
