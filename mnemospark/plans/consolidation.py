@@ -72,7 +72,7 @@ def graph_two_hop(spark, sf_dir):
 
 def _revised(spark, sf_dir):
     events = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "ts", "value")
-    return events.withColumn("revision", F.expr("row_number() over (partition by user_id, event_type, date(ts) order by ts, event_id)")).withColumn("day", F.to_date("ts"))
+    return events.withColumn("revision", F.expr("cast(row_number() over (partition by user_id, event_type, date(ts) order by ts, event_id) as bigint)")).withColumn("day", F.to_date("ts"))
 
 
 def latest_revision_antijoin(spark, sf_dir):

@@ -49,7 +49,7 @@ def keyword_scan(spark, sf_dir):
 
 
 def top_n_per_type(spark, sf_dir):
-    return scans.top_per_type(_memories(spark, sf_dir), 7).select("id", "memory_type", "nth")
+    return scans.top_per_type(_memories(spark, sf_dir), 7).select("id", "memory_type", F.col("nth").cast("bigint").alias("nth"))
 
 
 def validity_as_of(spark, sf_dir):

@@ -56,7 +56,7 @@ def rerank_convex(spark, sf_dir):
 
 def anchor_floor(spark, sf_dir):
     pool = scans.priority(_memories(spark, sf_dir), 32).select("id", F.col("importance").alias("combined"), (F.col("memory_type") == "preference").alias("anchor"))
-    return ranking.anchor_floor(pool, 8)
+    return ranking.anchor_floor(pool, 8).withColumn("place", F.col("place").cast("bigint"))
 
 
 def mmr(spark, sf_dir):
@@ -73,7 +73,7 @@ LIMITS = {"open_loop": 2, "self_timeline": 2, "user_profile": 3, "conversation_s
 
 def slot_allocation(spark, sf_dir):
     rows = _memories(spark, sf_dir).select("id", ranking.slot(GROUP).alias("slot"), F.col("importance").alias("score"))
-    return ranking.allot(rows, LIMITS, 20, ("conversation_summary", "self_timeline"))
+    return ranking.allot(rows, LIMITS, 20, ("conversation_summary", "self_timeline")).withColumn("place", F.col("place").cast("bigint"))
 
 
 def collapse_source(spark, sf_dir):
@@ -92,13 +92,13 @@ def _vectors(spark, sf_dir):
 def knn_cosine(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     found = vectors.knn_exact(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DIMENSION)
-    return found.select("query", "key", F.round("cosine", 5).alias("cosine"), "rank")
+    return found.select("query", "key", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def knn_cells(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     centres = vectors.fit_cells(rows, "vec_id", "embedding", DIMENSION, 16)
-    return vectors.knn_cells(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DIMENSION, centres, 10).select("query", "key", F.round("cosine", 5).alias("cosine"), "rank")
+    return vectors.knn_cells(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DIMENSION, centres, 10).select("query", "key", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def recall_metrics(spark, sf_dir):
@@ -171,7 +171,7 @@ SELECT id, hits, round(bm25, 6) AS bm25, round(rrf, 6) AS rrf, round(base * (0.6
 p AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM d), tf AS (SELECT doc_id, n_terms, term, count(*) AS tf FROM p WHERE term IN ('lantern', 'violin', 'koffer', 'guitarra') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 5) AS score FROM tf JOIN f USING (term), s GROUP BY doc_id""",
         "rrf_fusion": f"WITH r AS ({_routes_sql(300, False)}) SELECT id, round(sum(1.0 / (60.0 + rank)), 8) AS rrf FROM r GROUP BY id",
-        "candidate_merge": f"WITH r AS ({_routes_sql(300, False)}) SELECT id, array_to_string(list_sort(list(DISTINCT route)), '+') AS routes, CASE WHEN bool_or(route = 'keyword') AND bool_or(route = 'time_window') THEN 0.08 ELSE 0.0 END AS bonus FROM r GROUP BY id",
+        "candidate_merge": f"WITH r AS ({_routes_sql(300, False)}) SELECT id, array_to_string(list_sort(list(DISTINCT route)), '+') AS routes, CASE WHEN bool_or(route = 'keyword') AND bool_or(route = 'time_window') THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM r GROUP BY id",
         "rerank_convex": """WITH w AS (SELECT id, importance, confidence, min(importance) OVER p AS a, max(importance) OVER p AS b, min(confidence) OVER p AS c, max(confidence) OVER p AS d FROM memories WINDOW p AS (PARTITION BY memory_type))
 SELECT id, round(0.5 * CASE WHEN b > a THEN (importance - a) / (b - a) ELSE 0.5 END + 0.5 * CASE WHEN d > c THEN (confidence - c) / (d - c) ELSE 1.0 END, 6) AS combined FROM w""",
         "anchor_floor": f"""WITH p AS (SELECT id, importance AS combined, memory_type = 'preference' AS anchor FROM memories WHERE {_FINDABLE} ORDER BY importance DESC NULLS LAST, occurred_at DESC NULLS LAST, id LIMIT 32),

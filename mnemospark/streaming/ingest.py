@@ -29,27 +29,22 @@ def sessions(events: DataFrame, keys: list[str], time: str, gap: str = "120 minu
     return grouped.agg(F.count(F.lit(1)).alias("n_events"), F.max(time).alias("last_at")).select(*keys, F.col("w.start").alias("start_at"), "last_at", "n_events")
 
 
-def triggered(events: DataFrame, key: str, time: str, enough: int = 12, idle_ms: int = 3_600_000) -> DataFrame:
-    """(key, n, reason) whenever ``enough`` events of a key have come in, or some and then none for ``idle_ms``."""
+def triggered(events: DataFrame, key: str, enough: int = 12) -> DataFrame:
+    """(key, n) whenever ``enough`` events of a key have come in; the rest is kept for later batches.
+
+    Windows that are due because they are old are found by the batch read
+    ``scans.ready_windows``, which needs no timer per key.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "n": [held], "reason": ["idle"]})
-            return
-        held += sum(len(p) for p in parts)
+        held = (state.get[0] if state.exists else 0) + sum(len(p) for p in parts)
         full, rest = divmod(held, enough)
-        if rest:
-            state.update((rest,))
-            state.setTimeoutDuration(idle_ms)
-        elif state.exists:
-            state.remove()
+        state.update((rest,))
         if full:
-            yield pd.DataFrame({key: [k[0]] * full, "n": [enough] * full, "reason": ["enough"] * full})
+            yield pd.DataFrame({key: [k[0]] * full, "n": [enough] * full})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, time).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint, reason string", "n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n bigint", "n bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def accumulated(events: DataFrame, key: str, amount: str, low: float, high: float) -> DataFrame:
