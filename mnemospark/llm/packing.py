@@ -13,6 +13,8 @@ from ..runtime import cut
 
 #: Containers that one differencing run fills; the last of a run holds the slack, so waste is about one part in this many.
 WINDOWS = 96
+#: Room that a container may leave and still be kept while others overflow.
+SLACK = 0.02
 SPEC_LIMIT = 1000
 SCHEMA = "spec_id int, container string, doc_id bigint, piece int, token_start bigint, token_end bigint, n_tokens bigint"
 
@@ -68,15 +70,34 @@ def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Container of each item; the count of containers rises until none exceeds ``capacity``. No item may."""
-    total = int(sizes.sum())
-    k = max(1, -(-total // capacity))
-    while k < len(sizes):
-        containers, highest = difference(sizes, k)
+    """Container of each item; none above ``capacity`` may be among them.
+
+    Differencing gives near-equal containers. If all hold, that's it. Else
+    those that hold and are full but for ``SLACK`` are kept and the other
+    items are divided again; if there is none, the count of containers rises.
+    """
+    out = np.empty(len(sizes), np.int64)
+    left, named, k = np.arange(len(sizes)), 0, 0
+    while len(left):
+        k = max(k, 1, -(-int(sizes[left].sum()) // capacity))
+        if k >= len(left):
+            out[left] = named + np.arange(len(left))
+            break
+        containers, highest = difference(sizes[left], k)
         if highest <= capacity:
-            return containers
-        k += 1 if k < 200 else k // 100
-    return np.arange(len(sizes))
+            out[left] = named + containers
+            break
+        loads = np.bincount(containers, sizes[left], k)
+        full = np.flatnonzero((loads <= capacity) & (loads >= capacity * (1 - SLACK)))
+        if len(full):
+            numbers = np.full(k, -1)
+            numbers[full] = named + np.arange(len(full))
+            kept = numbers[containers] >= 0
+            out[left[kept]] = numbers[containers[kept]]
+            left, named, k = left[~kept], named + len(full), 0
+        else:
+            k += 1 if k < 200 else k // 100
+    return out
 
 
 def pack_documents(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens", windows: int = WINDOWS) -> DataFrame:
