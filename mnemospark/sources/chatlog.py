@@ -77,6 +77,6 @@ def structured(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def choose_columns(df: DataFrame) -> dict[str, str]:
     """Which of a foreign table's columns hold content, session, speaker and time, by name; absent roles are left out."""
-    roles = {"content": ("content", "text", "message", "body", "summary", "memory"), "session_id": ("session_id", "session", "conversation_id", "chat_id", "umo"), "speaker": ("speaker", "sender", "author", "persona_id", "user_name"), "occurred_at": ("occurred_at", "created_at", "timestamp", "time", "date")}
+    roles = {"content": ("content", "text", "message", "body", "summary", "memory"), "session_id": ("session_id", "session", "conversation_id", "chat_id"), "speaker": ("speaker", "sender", "author", "persona_id", "user_name"), "occurred_at": ("occurred_at", "created_at", "timestamp", "time", "date")}
     names = {c.lower(): c for c in df.columns}
     return {role: next(names[n] for n in options if n in names) for role, options in roles.items() if any(n in names for n in options)}
