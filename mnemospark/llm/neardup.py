@@ -18,9 +18,11 @@ COMMON_SHARE = 0.01
 #: Up to so many records a token is rare whatever its share.
 RARE_RECORDS = 64
 ROWS, BANDS = 3, 64
-#: Records of which fewer tokens than this, or a smaller share, are rare also get bands over their whole set: so do the members of a large group of similar texts, whose common words its size makes common.
-FEW_RARE, RARE_SHARE, FULL_ROWS, FULL_BANDS = 6, 0.2, 6, 64
+#: Every record also gets bands over its whole set: the words that a large group of similar texts shares are common by its size, and the rare words of its members may differ.
+FULL_ROWS, FULL_BANDS = 6, 64
 SIGNATURE, STEP = 96, 16
+#: Bits of each MinHash value that go along with a band, and the bigint columns that hold them.
+SHORT_BITS, SHORT = 2, ("s0", "s1", "s2")
 #: A pair is dropped when its posterior probability of reaching the threshold is less.
 TOLERANCE = 1e-4
 #: Up to so many exact copies of one token set are linked pair by pair, more by their representative.
@@ -53,7 +55,7 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[
 
 
 def _sketches(common: np.ndarray):
-    """Arrow function (rep, hashes) -> (rep, hashes, signature, bands)."""
+    """Arrow function (rep, hashes) -> (rep, hashes, signature, bands, and the signature's low bits in SHORT)."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(1, 2**63, size=(SIGNATURE + ROWS * BANDS + FULL_ROWS * FULL_BANDS,), dtype=np.uint64) | np.uint64(1)
     for_signature, for_bands, for_full = np.split(factors, [SIGNATURE, SIGNATURE + ROWS * BANDS])
@@ -87,13 +89,12 @@ def _sketches(common: np.ndarray):
             rare_starts = np.concatenate([[0], np.cumsum(n_rare[some])[:-1]]).astype(np.int64)
             for i, k in zip(some, keys(minima(unsigned[rare], rare_starts, for_bands), ROWS, 0), strict=True):
                 bands[i] = k
-        few = np.flatnonzero(n_rare < np.maximum(FEW_RARE, RARE_SHARE * sizes))
-        if len(few):
-            chosen = np.repeat(np.isin(np.arange(len(sizes)), few), sizes)
-            few_starts = np.concatenate([[0], np.cumsum(sizes[few])[:-1]]).astype(np.int64)
-            for i, k in zip(few, keys(minima(unsigned[chosen], few_starts, for_full), FULL_ROWS, BANDS), strict=True):
-                bands[i] = np.concatenate([bands[i], k])
-        return signature, bands
+        full = keys(minima(unsigned, starts, for_full), FULL_ROWS, BANDS)
+        return signature, [np.concatenate(x) for x in zip(bands, full, strict=True)]
+
+    def short(signature: np.ndarray) -> np.ndarray:
+        bits = (signature[:, :, None] >> np.arange(SHORT_BITS, dtype=np.uint16)) & 1
+        return np.packbits(bits.astype(np.uint8).reshape(len(signature), -1), axis=1).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,13 +104,23 @@ def _sketches(common: np.ndarray):
                 sizes = np.diff(np.asarray(lists.offsets))
                 signature, bands = sketch(np.asarray(lists.flatten()), sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), lists, pa.array([row.tobytes() for row in signature], pa.binary()), pa.array([b.view(np.int64) for b in bands], pa.list_(pa.int64()))],
-                    names=["rep", "hashes", "signature", "bands"],
+                    [part.column("rep"), lists, pa.array([row.tobytes() for row in signature], pa.binary()), pa.array([b.view(np.int64) for b in bands], pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(short(signature).T))],
+                    names=["rep", "hashes", "signature", "bands", *SHORT],
                 )
 
     return run
 
 
+def _may_reach(threshold: float) -> Column:
+    """Whether two signatures' low bits (x.SHORT, y.SHORT) leave a posterior of TOLERANCE: unequal values have equal bits once in 2 ** SHORT_BITS."""
+    by_chance = 0.5**SHORT_BITS
+    _, least = least_matches(threshold + (1 - threshold) * by_chance)[-1]
+    differ = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in SHORT]
+    # Either bit of a value, moved to its lower place.
+    unequal = [F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ]
+    return sum(unequal[1:], unequal[0]) <= SIGNATURE - least
+
+
 def _prune(limits: list[tuple[int, int]]):
     """Arrow function over (a, b, sa, sb): keeps pairs step by step while enough MinHash values agree."""
 
@@ -141,11 +152,11 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
 
     Equal sets are joined before anything else, so a class of any size is one
     row. Candidates share a band of MinHash values over their rare tokens,
-    those in at most ``COMMON_SHARE`` of the records; no bucket can then hold
-    more than that share. Where few tokens are rare, bands over the whole set
-    are added. Common tokens are collected: they number at most the
-    mean set size by that share. MinHash values over whole sets are then
-    compared ``STEP`` at a time, pairs are dropped once their posterior
+    those in at most ``COMMON_SHARE`` of the records, or over their whole sets.
+    Common tokens are collected: they number at most the mean set size by that
+    share. Bands carry the low bits of the MinHash values, by which most
+    candidates fall before they are shuffled. MinHash values over whole sets
+    are then compared ``STEP`` at a time, pairs are dropped once their posterior
     probability falls below ``TOLERANCE``, and the rest are verified exactly.
     """
     base = df.select(F.col(row_id).alias("id"), tokens(F.col(content)).alias("hashes")).where(F.size("hashes") > 0)
@@ -156,10 +167,10 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
     limit = max(RARE_RECORDS, int(distinct.count() * COMMON_SHARE))
     common = distinct.select(F.explode("hashes").alias("t")).groupBy("t").count().where(F.col("count") > limit).select("t")
     common = np.array(sorted(r.t for r in common.toLocalIterator()), np.int64)
-    sketches = cut(distinct.mapInArrow(_sketches(common), "rep string, hashes array<bigint>, signature binary, bands array<bigint>"))
-    bands = sketches.select("rep", F.explode("bands").alias("band"))
-    a, b = bands.select(F.col("rep").alias("a"), "band"), bands.select(F.col("rep").alias("b"), "band")
-    candidates = a.join(b, "band").where("a < b").select("a", "b").distinct()
+    sketches = cut(distinct.mapInArrow(_sketches(common), "rep string, hashes array<bigint>, signature binary, bands array<bigint>, s0 bigint, s1 bigint, s2 bigint"))
+    bands = sketches.select("rep", *SHORT, F.explode("bands").alias("band"))
+    met = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & _may_reach(numerator / denominator))
+    candidates = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     signatures = sketches.select("rep", "signature")
     signed = candidates.join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
     likely = signed.select("a", "b", "sa", "sb").mapInArrow(_prune(least_matches(numerator / denominator)), "a string, b string")
