@@ -98,7 +98,7 @@ def knn_cosine(spark, sf_dir):
 def knn_cells(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     centres = vectors.fit_cells(rows, "vec_id", "embedding", DIMENSION, 16)
-    return vectors.knn_cells(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DIMENSION, centres, 10).select("query", "key", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+    return vectors.knn_cells(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", DIMENSION, centres, 12).select("query", "key", F.round("cosine", 5).alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def recall_metrics(spark, sf_dir):

@@ -10,6 +10,7 @@ from mnemospark.engine import Engine
 from mnemospark.functions import text as X
 from mnemospark.operators import merging, ranking, revisions, segments, vectors
 from mnemospark.operators.scans import Context
+from mnemospark.plans import retrieval
 from mnemospark.sources import archive, chatlog
 from mnemospark.sources.tables import VersionedTable
 from mnemospark.streaming import ingest
@@ -68,6 +69,13 @@ def test_cells_find_nine_in_ten(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_registered_cells_find_nine_in_ten(spark, sf_dir):
+    pairs = lambda df: {(x["query"], x["key"]) for x in df.collect()}
+    for d in (sf_dir, sf_dir.replace("sf0.001", "sf0.01"), sf_dir.replace("sf0.001", "sf0.1")):
+        exact = pairs(retrieval.knn_cosine(spark, d))
+        assert len(exact & pairs(retrieval.knn_cells(spark, d))) / len(exact) >= 0.9
+
+
 def test_folds(spark):
     rows = [("k", i, T0 + timedelta(seconds=i), d) for i, d in enumerate([0.4, 0.4, -2.0, 0.1])] + [("k", 0, T0 + timedelta(days=1), 9.0)]
     assert round(merging.fold_reactions(spark.createDataFrame(rows, "key string, source_id int, at timestamp, delta double")).first().level, 6) == 0.1
