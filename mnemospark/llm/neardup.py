@@ -25,7 +25,7 @@ SIGNATURE, STEP = 96, 16
 SHORT_BITS, SHORT = 2, ("s0", "s1", "s2")
 #: A pair is dropped when its posterior probability of reaching the threshold is less.
 TOLERANCE = 1e-4
-#: Up to so many exact copies of one token set are linked pair by pair, more by their representative.
+#: Up to so many records of one and the same text, byte by byte, are linked pair by pair, more by their representative.
 COPIES_IN_PAIRS = 64
 SEED = 20_240_517
 # Fixed value: CJK unified ideographs, which are cut into pairs.
@@ -144,8 +144,8 @@ def _prune(limits: list[tuple[int, int]]):
 def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, denominator: int, tokens=token_hashes) -> tuple[DataFrame, DataFrame]:
     """(members, links): each record's class of equal token sets, and the similar pairs of different classes.
 
-    members: id, rep (the class's least id). links: a, b with a < b, both
-    reps. Records with a null text or without any token have no set and are in
+    members: id, rep (the class's least id), text (a key of the exact text).
+    links: a, b with a < b, both reps. Records with a null text or without any token have no set and are in
     neither; empty tables give empty results; ids must be unique, and columns
     other than the two named are not read. Similarity is shared tokens by all
     tokens of both, compared in integers with numerator/denominator.
@@ -159,10 +159,10 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
     are then compared ``STEP`` at a time, pairs are dropped once their posterior
     probability falls below ``TOLERANCE``, and the rest are verified exactly.
     """
-    base = df.select(F.col(row_id).alias("id"), tokens(F.col(content)).alias("hashes")).where(F.size("hashes") > 0)
-    sets = cut(base.select("id", fingerprint(F.hash("hashes").cast("string"), F.xxhash64("hashes").cast("string"), F.size("hashes").cast("string"), F.xxhash64(F.lit(5), F.reverse("hashes")).cast("string")).alias("key"), "hashes"))
+    base = df.select(F.col(row_id).alias("id"), fingerprint(F.col(content)).alias("text"), tokens(F.col(content)).alias("hashes")).where(F.size("hashes") > 0)
+    sets = cut(base.select("id", "text", fingerprint(F.hash("hashes").cast("string"), F.xxhash64("hashes").cast("string"), F.size("hashes").cast("string"), F.xxhash64(F.lit(5), F.reverse("hashes")).cast("string")).alias("key"), "hashes"))
     classes = sets.groupBy("key").agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes"))
-    members = sets.select("id", "key").join(classes.select("key", "rep"), "key").select("id", "rep")
+    members = sets.select("id", "text", "key").join(classes.select("key", "rep"), "key").select("id", "rep", "text")
     distinct = cut(classes.select("rep", "hashes"))
     limit = max(RARE_RECORDS, int(distinct.count() * COMMON_SHARE))
     common = distinct.select(F.explode("hashes").alias("t")).groupBy("t").count().where(F.col("count") > limit).select("t")
@@ -184,23 +184,20 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
 def similar_pairs(df: DataFrame, row_id: str, content: str, numerator: int, denominator: int, copies_in_pairs: int = COPIES_IN_PAIRS) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of similar records; see :func:`similar_classes` for what counts.
 
-    Different texts are linked each with each. Exact copies are too, up to
-    ``copies_in_pairs`` in a class; of a larger class each copy is linked with
-    the representative, and another text with the representative only, which
-    together imply all other pairs.
+    Different texts are linked each with each, also those of one token set.
+    Records of one and the same text are too, up to ``copies_in_pairs``; of
+    more, each is linked with their representative, and other texts with the
+    representative only, which together imply all other pairs.
     """
     members, links = similar_classes(df, row_id, content, numerator, denominator)
     members = cut(members)
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    few = members.join(sizes.where(F.col("n") <= copies_in_pairs), "rep").select("rep", "id")
-    within = few.alias("x").join(few.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    many = members.join(sizes.where(F.col("n") > copies_in_pairs), "rep").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    # Members that stand for their class in links between texts: all of a small class, else the representative.
-    standing = few.where("id <> rep").select("rep", "id")
-    others = standing.groupBy("rep").agg(F.collect_list("id").alias("more"))
-    spread = links.join(others.select(F.col("rep").alias("a"), F.col("more").alias("ma")), "a", "left").join(others.select(F.col("rep").alias("b"), F.col("more").alias("mb")), "b", "left")
-    spread = spread.select(F.explode(F.concat(F.array("a"), F.coalesce("ma", F.array().cast("array<string>")))).alias("x"), "b", "mb")
-    spread = spread.select("x", F.explode(F.concat(F.array("b"), F.coalesce("mb", F.array().cast("array<string>")))).alias("y"))
+    copies = members.groupBy("rep", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > copies_in_pairs)
+    known = members.join(copies, ["rep", "text"], "left")
+    many = known.where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    # Members that are linked pair by pair: all but the further copies of a frequent text. A class's rep is always one.
+    standing = known.where("first is null or id = first").select("rep", "id")
+    within = standing.alias("x").join(standing.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    spread = links.join(standing.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(standing.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
     between = spread.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return between.unionByName(within).unionByName(many)
 

@@ -93,3 +93,15 @@ def test_large_group_with_inserted_words_is_found_whole(spark):
     got = {tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows, "id string, content string"), "id", "content", 3, 5).collect()}
     want = brute(rows)
     assert len(want) == 131 * 130 // 2 + 40 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_different_texts_of_one_token_set_are_linked_each_with_each(spark):
+    r = random.Random(5)
+    words = "one two three four five six seven eight nine ten".split()
+    texts = set()
+    while len(texts) < 100:
+        texts.add(" ".join(r.sample(words, len(words))))
+    rows = [(f"c{i:03}", t) for i, t in enumerate(sorted(texts))] + [("d", " ".join([*words, "more"]))]
+    copies = [(f"e{i:03}", rows[3][1]) for i in range(80)]
+    got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows + copies, "id string, content string"), "id", "content", 3, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) | {("c003", i) for i, _ in copies}
