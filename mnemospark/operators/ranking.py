@@ -98,16 +98,18 @@ def _features(hay: str, tags, source: str | None) -> set[str]:
 
 
 def diversify(pool: DataFrame, limit: int, query: str = "query_id") -> DataFrame:
-    """Maximal marginal relevance per query over a bounded pool: adds place, the order after diversifying.
+    """Maximal marginal relevance per query: adds place, the order after diversifying.
 
     ``pool`` has query, id, score, hay, tags, source_plugin. The head of
     max(4 * limit, 16) rows is reordered up to ``limit`` picks by .84 relevance
-    less .16 of the greatest overlap with those picked; every row stays.
+    less .16 of the greatest overlap with those picked; every row stays. Only
+    the head goes through Python; rows after it are placed by their rank.
     """
+    size = max(4 * limit, 16)
 
     def reorder(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
-        head = list(range(min(len(part), max(4 * limit, 16))))
+        head = list(range(len(part)))
         scores = part["score"].to_numpy()
         low, high = scores[head].min(), scores[head].max()
         relevance = [(s - low) / (high - low) if high > low else 1.0 for s in scores]
@@ -124,7 +126,10 @@ def diversify(pool: DataFrame, limit: int, query: str = "query_id") -> DataFrame
         return part.loc[order, [query, "id", "score"]].assign(place=range(1, len(order) + 1))
 
     kind = pool.schema[query].dataType.simpleString()
-    return pool.select(query, "id", "score", "hay", "tags", "source_plugin").groupBy(query).applyInPandas(reorder, f"{query} {kind}, id string, score double, place int")
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc_nulls_last(), "id"))
+    ranked = pool.select(query, "id", "score", "hay", "tags", "source_plugin", rank.alias("place"))
+    head = ranked.where(F.col("place") <= size).drop("place").groupBy(query).applyInPandas(reorder, f"{query} {kind}, id string, score double, place int")
+    return head.unionByName(ranked.where(F.col("place") > size).select(query, "id", "score", "place"))
 
 
 def slot(ctx: Context) -> Column:

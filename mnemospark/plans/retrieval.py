@@ -60,7 +60,7 @@ def anchor_floor(spark, sf_dir):
 
 
 def mmr(spark, sf_dir):
-    pool = _memories(spark, sf_dir).withColumn("nth", F.expr("row_number() over (partition by memory_type order by importance desc, id)")).where("nth <= 40")
+    pool = _memories(spark, sf_dir)
     return ranking.diversify(pool.select(F.col("memory_type").alias("query_id"), "id", F.col("importance").alias("score"), lexical.haystack().alias("hay"), "tags", "source_plugin"), 8)
 
 

@@ -49,6 +49,13 @@ def test_diversifying_keeps_every_row(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.place)][0] == "m0"
 
 
+def test_registered_diversifying_keeps_every_memory(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    got = retrieval.mmr(spark, d).collect()
+    assert sorted(r.id for r in got) == sorted(r.id for r in spark.read.parquet(f"{d}/memories.parquet").select("id").collect())
+    assert len({(r.query_id, r.place) for r in got}) == len(got)
+
+
 def test_slots_hold_caps(spark):
     r = random.Random(1)
     rows = [(f"m{i:03}", r.choice(ranking.SLOTS), r.random()) for i in range(200)]
