@@ -54,9 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage and its estimated size.
+
+    A checkpoint inherits the size that the planner guessed for the plan it came
+    from, in which arrays, exploded rows and pruned scans count far too little,
+    so that joins would broadcast sides that grow with the data. Without an
+    estimate only sizes that AQE has measured may broadcast. Partitioning and
+    order of the rows stay known.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    held = df.checkpoint(eager=True)
+    jvm, plan, session = spark.sparkContext._jvm, held._jdf.queryExecution().analyzed(), held._jdf.sparkSession()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), spark)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
