@@ -105,3 +105,34 @@ def test_different_texts_of_one_token_set_are_linked_each_with_each(spark):
     copies = [(f"e{i:03}", rows[3][1]) for i in range(80)]
     got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows + copies, "id string, content string"), "id", "content", 3, 5).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) | {("c003", i) for i, _ in copies}
+
+
+def test_exact_candidates_find_every_pair(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(neardup, "BUCKET", 16)
+    got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows, "id string, content string"), "id", "content", 3, 5, exact=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_large_buckets_are_split_without_loss(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "id string, content string")
+    whole = sorted(tuple(x) for x in neardup.similar_pairs(df, "id", "content", 3, 5).collect())
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    monkeypatch.setattr(neardup, "PROBE", 1)
+    assert sorted(tuple(x) for x in neardup.similar_pairs(df, "id", "content", 3, 5).collect()) == whole
+
+
+def test_rows_of_a_band_follow_from_the_collection():
+    import numpy as np
+
+    near, far = np.full(1000, 0.3), np.full(1000, 0.02)
+    assert neardup.choose_rows(near, 10_000, 0.6) < neardup.choose_rows(near, 100_000_000, 0.6)
+    assert neardup.choose_rows(far, 100_000, 0.6) <= neardup.choose_rows(near, 100_000, 0.6)
+    assert all((1 - 0.6**r) ** neardup.band_count(r, 0.6) <= neardup.MISS for r in range(2, 9))
+
+
+def test_no_side_that_grows_is_broadcast_unmeasured(spark):
+    df = spark.createDataFrame(corpus(), "id string, content string")
+    plan = neardup.similar_pairs(df, "id", "content", 3, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan.split("== Initial Plan ==")[-1] and "NestedLoop" not in plan and "Cartesian" not in plan
