@@ -20,12 +20,14 @@ LEAST_ROWS, MOST_ROWS = 2, 8
 #: Sets from which the similarity of unrelated sets is told, and tokens of each that are looked at on average at most; neither decides what is found.
 SAMPLE_SETS, SAMPLE_TOKENS = 600, 2048
 #: What a band's row costs to shuffle and sort, against a pair that meets in a bucket.
-ROW_COST = 40
+ROW_COST = 20
 #: Rows of a bucket that one cell of its grid holds; larger buckets are told from one record in PROBE.
 BUCKET, PROBE = 1024, 64
-SIGNATURE, STEP = 96, 16
-#: Bits of each MinHash value that go along with a band, and the bigint columns that hold them.
-SHORT_BITS, SHORT = 2, ("s0", "s1", "s2")
+#: MinHash values of a signature, of each of which some low bits are kept, and after how many a pair is judged.
+SIGNATURE, STEPS = 192, (64, 128, 192)
+SHORT_BITS = 4
+#: The bigint columns that hold a signature.
+SHORT = tuple(f"s{i}" for i in range(SIGNATURE * SHORT_BITS // 64))
 #: A pair is dropped when its posterior probability of reaching the threshold is less.
 TOLERANCE = 1e-4
 #: Up to so many records of one and the same text, byte by byte, are linked pair by pair, more by their representative.
@@ -45,10 +47,10 @@ def token_hashes(content: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
 
 
-def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+def least_matches(threshold: float, tolerance: float = TOLERANCE, steps: tuple[int, ...] = STEPS) -> list[tuple[int, int]]:
     """(n, m) per step: with fewer than m of the first n values equal, P(similarity >= threshold) < tolerance under a uniform prior."""
     found = []
-    for n in range(STEP, SIGNATURE + 1, STEP):
+    for n in steps:
         below = 0.0
         for m in range(n + 1):
             # The posterior is Beta(m + 1, n - m + 1); its tail is a binomial sum.
@@ -111,17 +113,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def _signature(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     factors = np.random.default_rng(SEED).integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
-    return (_minima(values, starts, factors) >> np.uint64(40)).astype("<u2")
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function (n, hashes) -> (n, signature)."""
-    for part, values, starts in _pieces(batches):
-        yield pa.RecordBatch.from_arrays([part.column("n"), pa.array([row.tobytes() for row in _signature(values, starts)], pa.binary())], names=["n", "signature"])
+    return (_minima(values, starts, factors) >> np.uint64(40)).astype(np.uint8)
 
 
 def _bands(rows: int, bands: int):
-    """Arrow function (n, hashes) -> (n, bands, and the signature's low bits in SHORT); a band is a hash of its number and MinHash values."""
+    """Arrow function (n, hashes) -> (n, bands, and the signature in SHORT); a band is a hash of its number and MinHash values."""
     rng = np.random.default_rng(SEED + 1)
     factors = rng.integers(1, 2**63, rows * bands, dtype=np.uint64) | np.uint64(1)
     mixers = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
@@ -136,8 +132,8 @@ def _bands(rows: int, bands: int):
         return mixed.view(np.int64)
 
     def short(signature: np.ndarray) -> np.ndarray:
-        bits = (signature[:, :, None] >> np.arange(SHORT_BITS, dtype=np.uint16)) & 1
-        return np.packbits(bits.astype(np.uint8).reshape(len(signature), -1), axis=1).view(np.int64)
+        low = signature & np.uint8(2**SHORT_BITS - 1)
+        return np.ascontiguousarray(low[:, ::2] << np.uint8(4) | low[:, 1::2]).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, starts in _pieces(batches):
@@ -150,33 +146,26 @@ def _bands(rows: int, bands: int):
 
 
 def _may_reach(threshold: float) -> Column:
-    """Whether two signatures' low bits (x.SHORT, y.SHORT) leave a posterior of TOLERANCE: unequal values have equal bits once in 2 ** SHORT_BITS."""
-    by_chance = 0.5**SHORT_BITS
-    _, least = least_matches(threshold + (1 - threshold) * by_chance)[-1]
-    differ = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in SHORT]
-    # Either bit of a value, moved to its lower place.
-    unequal = [F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ]
-    return sum(unequal[1:], unequal[0]) <= SIGNATURE - least
-
+    """Whether two signatures (x.SHORT, y.SHORT) leave a posterior of TOLERANCE after each step; the first step that doesn't ends the comparison.
 
-def _prune(limits: list[tuple[int, int]]):
-    """Arrow function over (a, b, sa, sb): keeps pairs step by step while enough MinHash values agree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SIGNATURE) for c in ("sa", "sb"))
-            alive = np.arange(batch.num_rows)
-            agree = np.zeros(batch.num_rows, np.int64)
-            for n, m in limits:
-                agree = agree + (left[alive, n - STEP : n] == right[alive, n - STEP : n]).sum(axis=1)
-                keep = agree >= m
-                alive, agree = alive[keep], agree[keep]
-            kept = batch.take(pa.array(alive))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
-
-    return run
+    Unequal MinHash values have equal low bits once in 2 ** SHORT_BITS, which
+    the limits allow for.
+    """
+    def unequal(columns: tuple[str, ...]) -> Column:
+        """Of the values in four columns: any differing bit of a value moved to its lowest place, and one place further per column, so that one count tells all."""
+        out = F.lit(0).cast("bigint")
+        for i, c in enumerate(columns):
+            d = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
+            d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+            flags = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+            out = flags if i == 0 else out.bitwiseOR(F.shiftleft(flags, i))
+        return F.bit_count(out)
+
+    counts = [unequal(SHORT[i : i + SHORT_BITS]) for i in range(0, len(SHORT), SHORT_BITS)]
+    out = F.lit(True)
+    for i, (n, m) in enumerate(least_matches(threshold + (1 - threshold) * 0.5**SHORT_BITS)):
+        out = out & (sum(counts[1 : i + 1], counts[0]) <= n - m)
+    return out
 
 
 def _pairs_within(rows: DataFrame, key: str, row: str, large: DataFrame | None, test: Column | None = None) -> DataFrame:
@@ -202,7 +191,7 @@ def _pairs_within(rows: DataFrame, key: str, row: str, large: DataFrame | None,
 
 
 def _banded(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the sets (n, hashes) that share a band and whose MinHash values' low bits agree well enough."""
+    """(a, b) of the sets (n, hashes) that share a band and whose MinHash values agree well enough."""
     count, tokens = distinct.agg(F.count(F.lit(1)), F.avg(F.size("hashes"))).first()
     thin = 1 + int((tokens or 0) // SAMPLE_TOKENS)
     sample = distinct.orderBy(F.xxhash64("n")).limit(SAMPLE_SETS).select(F.filter("hashes", lambda h: F.pmod(h, F.lit(thin)) == 0).alias("h"))
@@ -213,7 +202,8 @@ def _banded(distinct: DataFrame, threshold: float) -> DataFrame:
     banded = lambda df: df.select("n", "hashes").mapInArrow(_bands(rows, number), schema)
     probe = distinct.where(F.pmod(F.xxhash64(F.lit(11), "n"), F.lit(PROBE)) == 0)
     large = cut(banded(probe).select(F.explode("bands").alias("band")).groupBy("band").count().where(F.col("count") * PROBE >= BUCKET).select("band", (F.col("count") * PROBE).alias("n")))
-    bands = banded(distinct).select("n", *SHORT, F.explode("bands").alias("band"))
+    # Columns that can't be null keep the join's generated code short enough to be compiled.
+    bands = banded(distinct).select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *SHORT)], F.explode("bands").alias("band"))
     return _pairs_within(bands, "band", "n", None if large.isEmpty() else large, _may_reach(threshold)).distinct()
 
 
@@ -248,13 +238,13 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
     many values make a band follows from the number of sets and the similarity
     of unrelated ones, so that the work is least; the number of bands follows
     from that, so that a pair at the threshold is missed with probability
-    ``MISS`` whatever the size of the collection. Bands carry the low bits of
-    the MinHash values, by which most candidates fall where they meet. MinHash
-    values are then compared ``STEP`` at a time, pairs are dropped once their
-    posterior probability falls below ``TOLERANCE``, and the rest are verified
-    exactly. With ``exact``, candidates share a token of their prefixes
-    instead, and every similar pair is found; that takes far longer where
-    tokens are few.
+    ``MISS`` whatever the size of the collection. Bands carry a signature of
+    further MinHash values. Where two records meet in a band, these are
+    compared in ``STEPS``, and the pair is dropped once its posterior
+    probability of reaching the threshold falls below ``TOLERANCE``; so only
+    pairs that are likely leave the join, and these are verified exactly. With
+    ``exact``, candidates share a token of their prefixes instead, and every
+    similar pair is found; that takes far longer where tokens are few.
     """
     threshold = numerator / denominator
     base = df.select(F.col(row_id).alias("id"), fingerprint(F.col(content)).alias("text"), tokens(F.col(content)).alias("hashes")).where(F.size("hashes") > 0)
@@ -264,10 +254,6 @@ def similar_classes(df: DataFrame, row_id: str, content: str, numerator: int, de
     members = sets.select("id", "text", "key").join(reps, "key").select("id", "rep", "text")
     distinct = cut(sets.groupBy("key").agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes")).select(F.monotonically_increasing_id().alias("n"), "rep", "hashes"))
     candidates = _prefixes(distinct, numerator, denominator) if exact else _banded(distinct, threshold)
-    if not exact:
-        signatures = distinct.select("n", "hashes").mapInArrow(_signatures, "n bigint, signature binary")
-        signed = candidates.join(signatures.select(F.col("n").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("n").alias("b"), F.col("signature").alias("sb")), "b")
-        candidates = signed.select("a", "b", "sa", "sb").mapInArrow(_prune(least_matches(threshold)), "a bigint, b bigint")
     side = lambda c: distinct.select(F.col("n").alias(c), F.col("rep").alias(f"r{c}"), F.col("hashes").alias(f"h{c}"))
     both = candidates.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))

@@ -64,7 +64,7 @@ def test_empty(spark):
 
 def test_pruning_limits_keep_similar_pairs():
     limits = neardup.least_matches(0.6)
-    assert [n for n, _ in limits] == list(range(16, 97, 16)) and all(m < 0.6 * n for n, m in limits) and limits[-1][1] > 0.3 * 96
+    assert tuple(n for n, _ in limits) == neardup.STEPS and all(m < 0.6 * n for n, m in limits) and limits[-1][1] > 0.3 * neardup.SIGNATURE
 
 
 def test_token_hashes_are_sets(spark):
