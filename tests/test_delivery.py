@@ -74,3 +74,26 @@ def test_ranges_merge_over_batches(spark):
     both = seen_ranges(rows([4, 5, 9]), first)
     assert sorted((x.lo, x.hi) for x in first.collect()) == [(1, 3), (7, 7)]
     assert sorted((x.lo, x.hi) for x in both.collect()) == [(1, 5), (7, 7), (9, 9)]
+
+
+def test_a_later_batch_knows_earlier_ones_by_their_ledger(spark):
+    """Numbers, malformed ids and dedupe keys of a first batch are covered; of the others the first copy stays."""
+    row = lambda i, m, k, s=0: (i, "e", "s", "u", m, k, T0 + timedelta(seconds=s))
+    first = frame(spark, [row("a1", "q5", None), row("a2", "q6", None), row("a3", "m07", None), row("a4", None, "k1"), row("a5", "q6", "k2", 1)])
+    ledger = seen_ranges(first, dedupe="dedupe_key")
+    later = [row("b1", "q5", "k9"), row("b2", "q7", None), row("b3", "q7", None, 1), row("b4", "m07", None), row("b5", "m7", None), row("b6", None, "k1"), row("b7", "q20", "k9"), row("b8", "q20", None), row("b9", None, None), row("c0", None, "k2")]
+    got = {(x.id, x.kept_id) for x in redelivered(frame(spark, later), ledger=ledger).collect()}
+    assert got == {("b1", None), ("b3", "b2"), ("b4", None), ("b6", None), ("b7", None), ("b8", None), ("c0", None)}
+
+
+def test_a_message_delivered_often_under_two_keys(spark):
+    rows = [(f"r{i:02}", "e", "s", "u", "q1", "k", T0 + timedelta(seconds=i % 7)) for i in range(20)] + [("z", "e", "s", "u", "q1", "other", T0 - timedelta(seconds=1)), ("y", "e", None, None, None, "other", None)]
+    got = {(x.id, x.kept_id) for x in redelivered(frame(spark, rows)).collect()}
+    assert got == {(f"r{i:02}", "z") for i in range(20)} | {("y", "z")}
+
+
+def test_few_exchanges(spark):
+    """The plan that is left after the cuts shuffles the pairs of keys, not the rows again."""
+    rows = [(f"a{i:03}", "user_message", "s", "u", f"q{i // 2:x}", f"k{i // 3}", T0) for i in range(60)]
+    plan = redelivered(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6
