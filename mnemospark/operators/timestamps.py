@@ -191,8 +191,8 @@ def resolve_times(
     one reading is possible. A missing year is the nearest to the closest
     earlier row of the batch that denotes an instant, else base_year; half a
     year either way counts as 182.5 days. Rows without sequence number have no
-    earlier row. Relative days need exported_at. Null, empty and overlong
-    texts denote nothing; repeated rows resolve alike; an unknown batch has
+    earlier row. Relative days need exported_at. Null and empty texts denote
+    nothing, as do texts of any length that are no time; repeated rows resolve alike; an unknown batch has
     the defaults; an empty table gives no rows. Further columns of either
     table are not read.
 
@@ -201,15 +201,15 @@ def resolve_times(
     years is a scan in two levels, over blocks of sequence numbers and then
     over one row per block, so that no export is one task's work.
     """
-    b = batches.select(
-        F.col("id").alias("__b"), F.col("locale").alias("__locale"), F.coalesce("source_timezone", F.lit(default_zone)).alias("__zone"),
+    known = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    # Zones are looked up once per batch, not per row.
+    b = batches.withColumn("__zone", F.coalesce("source_timezone", F.lit(default_zone))).select(
+        F.col("id").alias("__b"), F.col("locale").alias("__locale"), F.expr(f"CASE WHEN __zone IN ({known}) THEN __zone END").alias("__zone"),
         F.col("base_year").cast("bigint").alias("__base"), F.col("exported_at").alias("__exported"),
     )
-    rows = df.select(F.col(row_id).alias("__row"), F.col(batch).alias("__batch"), F.col(sequence).cast("bigint").alias("__seq"), F.when(F.length(raw) <= 200, F.col(raw)).alias("__raw"))
+    rows = df.select(F.col(row_id).alias("__row"), F.col(batch).alias("__batch"), F.col(sequence).cast("bigint").alias("__seq"), F.col(raw).alias("__raw"))
     rows = rows.join(small(b), F.col("__batch") == F.col("__b"), "left")
-    known = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
-    rows = rows.withColumn("__zone", F.coalesce("__zone", F.lit(default_zone)))
-    zone = F.expr(f"CASE WHEN __zone IN ({known}) THEN __zone END")
+    zone = F.when(F.col("__b").isNull(), F.lit(default_zone)).otherwise(F.col("__zone"))
     p = rows.select("__row", "__batch", "__seq", "__locale", "__base", "__exported", zone.alias("zone"), _components("__raw").alias("p")).select("*", "p.*").drop("p")
     p = p.withColumn("off", F.when(F.col("cst") & F.col("zone").isin("Asia/Shanghai", "Asia/Taipei", "Asia/Hong_Kong"), 480).otherwise(F.col("off")))
     first, second = F.col("first"), F.col("second")
