@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The vocabularies that normalisers accept.
-VALIDITY = ("active", "superseded", "expired", "archived", "quarantined")
+# Validity states of a record.
+VALIDITY = ("active", "superseded", "expired", "archived", "deleted", "quarantined")
+# Levels of sensitivity.
 SENSITIVITY = ("public", "internal", "private", "restricted")
+# Half-life in days by durability.
 DURABILITY_DAYS = {"ephemeral": 1.0, "short": 14.0, "normal": 120.0, "durable": 730.0, "pinned": None}
+# Fixed value: prefix of scoped keys.
 KEY_PREFIX = "mav2"
+# Memory types of the same durability.
+DURABLE_TYPES = {
+    "pinned": ("manual_memory", "explicit_memory"),
+    "durable": ("user_profile", "user_preference", "relationship_claim", "promise", "open_loop", "creative_work"),
+    "short": ("emotion_state", "current_state", "schedule_fragment", "bot_detail_fragment", "proactive_message"),
+    "ephemeral": ("raw_event", "timeline_event"),
+}
+# What stands for a masked secret, and the names whose values are secret.
+MASK = "[REDACTED]"
+SECRET_NAMES = ("password", "passwd", "api_key", "apikey", "access_token", "refresh_token", "authorization", "client_secret", "private_key", "credential", "credentials")
+# The parts of a session key that name its scope, in the order in which they are looked for; after the first kind stands the target, after the second it is the key's last part.
+SCOPE_MARKS = ((":groupmessage:", "group", True), (":group:", "group", False), (":friendmessage:", "private", True), (":privatemessage:", "private", True), (":friend:", "private", False), (":private:", "private", False))
 CJK = "一-鿿"
 
 
@@ -64,24 +79,66 @@ def count_of(text: Column, part: Column) -> Column:
 
 
 def redact_secrets(text: Column) -> Column:
-    """Private keys, bearer tokens, credentials in addresses and assigned secrets masked."""
-    out = F.regexp_replace(text, r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted private key]")
-    out = F.regexp_replace(out, r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/\-]{8,}=*", "$1 [redacted]")
-    out = F.regexp_replace(out, r"(?i)\b([a-z][a-z0-9+.\-]*://)[^\s/@:]+:[^\s/@]+@", "$1[redacted]@")
-    return F.regexp_replace(out, r"(?i)\b(password|passwd|secret|token|api[_-]?key)\b(\s*[:=]\s*)[^\s,;]+", "$1$2[redacted]")
+    """Private keys, bearer tokens, passwords in addresses and assigned secrets, quoted or not, masked. Null stays null."""
+    masked = MASK.replace("$", r"\$")
+    out = F.regexp_replace(text, r"(?is)-----BEGIN [^-\r\n]+ PRIVATE KEY-----.*?-----END [^-\r\n]+ PRIVATE KEY-----", masked)
+    out = F.regexp_replace(out, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", f"Bearer {masked}")
+    out = F.regexp_replace(out, r"(?i)(https?://[^:/\s]+:)[^@/\s]+(@)", f"$1{masked}$2")
+    name = r"password|passwd|api[_-]?key|access[_-]?token|refresh[_-]?token|authorization|client[_-]?secret|private[_-]?key"
+    return F.regexp_replace(out, rf"""(?i)\b({name})\b(\s*[:=]\s*)(?:"[^"\r\n]*"|'[^'\r\n]*'|[^\s,;\r\n]+)""", f"$1$2{masked}")
+
+
+def secret_name(name: Column) -> Column:
+    """Whether the value under a name is secret: one of ``SECRET_NAMES``, or a name that ends in '_' and one of them."""
+    plain = F.replace(F.lower(F.trim(name)), F.lit("-"), F.lit("_"))
+    tails = [plain.endswith(f"_{n}") for n in SECRET_NAMES if n != "apikey"]
+    found = plain.isin(*SECRET_NAMES)
+    for t in tails:
+        found = found | t
+    return found
+
+
+def redact_fields(json: Column) -> Column:
+    """A flat JSON object with the values of secret names masked and its texts redacted; null, or what is no object, stays as it is."""
+    parsed = F.from_json(json, "map<string,string>")
+    clean = F.transform_values(parsed, lambda k, v: F.when(secret_name(k), F.lit(MASK)).otherwise(redact_secrets(v)))
+    return F.when(parsed.isNull(), json).otherwise(F.to_json(clean))
+
+
+def known_or(value: Column, known: tuple[str, ...], fallback: str, empty: str | None = None) -> Column:
+    """A trimmed lower-cased value of the vocabulary; an unknown one becomes ``fallback``, null or '' becomes ``empty`` (without it ``fallback`` too)."""
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(*known), low).when(low.isNull() | (low == ""), fallback if empty is None else empty).otherwise(fallback)
 
 
-def known_or(value: Column, known: tuple[str, ...], fallback: str) -> Column:
-    """A lower-cased value of the vocabulary; anything else, null included, becomes ``fallback``."""
-    low = F.lower(F.trim(value))
-    return F.when(low.isin(*known), low).otherwise(fallback)
+def validity_status(value: Column) -> Column:
+    return known_or(value, VALIDITY, "quarantined", "active")
+
+
+def sensitivity(value: Column) -> Column:
+    return known_or(value, SENSITIVITY, "restricted", "private")
+
+
+def durability_of_type(memory_type: Column, fallback: Column) -> Column:
+    """Durability that a memory type implies, else ``fallback`` if it is a durability, else normal."""
+    kind, held = F.lower(clean_text(memory_type, 80)), F.lower(F.trim(fallback))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for level, types in DURABLE_TYPES.items():
+        out = out.when(kind.isin(*types), level)
+    return out.when(held.isin(*DURABILITY_DAYS), held).otherwise("normal")
 
 
 def session_scope(session: Column) -> Column:
-    """struct(scope, target) read from a session key such as platform:GroupMessage:id."""
-    kind = F.lower(F.split_part(session, F.lit(":"), F.lit(2)))
-    scope = F.when(kind.contains("group"), "group").when(kind.contains("friend") | kind.contains("private"), "private").otherwise("unknown")
-    return F.struct(scope.alias("scope"), F.nullif(F.split_part(session, F.lit(":"), F.lit(3)), F.lit("")).alias("target"))
+    """struct(scope, target) read from a session key such as platform:GroupMessage:id; unknown and '' without a mark of a scope. Null counts as ''."""
+    key = F.coalesce(session, F.lit(""))
+    low = F.lower(key)
+    scope, target = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    for mark, name, after in SCOPE_MARKS:
+        scope = scope.when(low.contains(mark), name)
+        # The last mark counts: what follows it in the key as it was written.
+        rest = F.substring_index(low, mark, -1) if after else F.substring_index(low, ":", -1)
+        target = target.when(low.contains(mark), F.right(key, F.length(rest)))
+    return F.struct(scope.otherwise("unknown").alias("scope"), target.otherwise("").alias("target"))
 
 
 def half_life_days(durability: Column) -> Column:

@@ -147,7 +147,7 @@ def clean_text(spark, sf_dir):
 
 def fingerprint(spark, sf_dir):
     m = _memories(spark, sf_dir)
-    parts = [F.col("memory_type"), F.col("subject.id"), F.col("evidence"), F.lower(F.regexp_replace("content", r"[^\x00-\x7F]", ""))]
+    parts = [F.col("memory_type"), F.col("subject.id"), F.col("evidence"), F.col("content")]
     return m.select("id", X.stable_fingerprint(*parts).alias("fingerprint"))
 
 
@@ -166,25 +166,49 @@ def query_terms(spark, sf_dir):
     return rows.select("ref_id", F.posexplode(X.query_terms(F.col("known_text"))).alias("place", "term"))
 
 
+#: Assigned secrets, a password in an address, a bearer token and a name that hides nothing, each as it may be written.
+SECRETS = """ api_key="ab c" and Access-Token: x7z, see https://user:pass@host/x with bearer abcdef123456 or client_secret='q w'; token=kept"""
+
+
 def redact_text(spark, sf_dir):
-    return _timeline(spark, sf_dir).select("id", X.redact_secrets(F.concat("content", F.lit(" token="), F.substring("id", 4, 8), F.lit(" see https://user:"), F.substring("id", 4, 6), F.lit("@host/x Bearer "), "id")).alias("clean"))
+    return _timeline(spark, sf_dir).select("id", X.redact_secrets(F.concat("content", F.lit(SECRETS), F.lit(" PASSWORD="), "id")).alias("clean"))
+
+
+def redact_metadata(spark, sf_dir):
+    """Metadata with a secret added to it under a name that shows so, and one inside a text."""
+    given = F.concat(F.substring_index("metadata", "}", 1), F.lit(', "db_password": "s3", "remark": "password: '), F.substring("id", 1, 4), F.lit('"}'))
+    clean = _timeline(spark, sf_dir).where("metadata like '{\"%'").select("id", F.from_json(X.redact_fields(given), "map<string,string>").alias("m"))
+    return clean.select("id", F.col("m")["trace"].alias("trace"), F.col("m")["message_id"].alias("message_id"), F.col("m")["db_password"].alias("db_password"), F.col("m")["remark"].alias("remark"))
 
 
 def session_scopes(spark, sf_dir):
-    rows = _timeline(spark, sf_dir).where("session_id is not null").select(X.session_scope(F.col("session_id")).alias("s"))
+    """The timeline's session keys, as they are and in the other notations that name a scope or none."""
+    key = F.col("session_id")
+    last = F.substring_index(key, ":", -1)
+    forms = [key, F.concat(F.lit("x:Group:y:"), last), F.concat(F.lit("x:PrivateMessage:"), last), F.concat(F.lit("x:friend:"), last), F.concat(F.lit("x:MyGroup:"), last), F.concat(F.lit("p:GroupMessage:friend:"), last)]
+    rows = _timeline(spark, sf_dir).where("session_id is not null").select(F.explode(F.array(*forms)).alias("key")).select(X.session_scope(F.col("key")).alias("s"))
     return rows.groupBy("s.scope", "s.target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def normalised_status(spark, sf_dir):
-    m = _memories(spark, sf_dir).select(X.known_or(F.col("validity_status"), X.VALIDITY, "quarantined").alias("validity"), X.known_or(F.col("sensitivity"), ("public", "internal"), "restricted").alias("sensitivity"))
-    return m.groupBy("validity", "sensitivity").agg(F.count(F.lit(1)).alias("n"))
+    """Statuses as they are and in forms that are empty, padded, of other case or unknown."""
+    m = _memories(spark, sf_dir)
+    forms = lambda c: F.explode(F.array(F.col(c), F.lit(None).cast("string"), F.lit(""), F.lit(" Deleted "), F.lit("PRIVATE"), F.upper(c), F.lit("odd")))
+    validity = m.select(F.lit("validity").alias("field"), forms("validity_status").alias("v")).select("field", X.validity_status(F.col("v")).alias("value"))
+    secrecy = m.select(F.lit("sensitivity").alias("field"), forms("sensitivity").alias("v")).select("field", X.sensitivity(F.col("v")).alias("value"))
+    return validity.unionByName(secrecy).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def durability_levels(spark, sf_dir):
+    m = _memories(spark, sf_dir).select(F.explode(F.array(F.col("memory_type"), F.lit("Open_Loop"), F.lit("current_state"))).alias("memory_type"), "durability")
+    return m.groupBy(X.durability_of_type(F.col("memory_type"), F.col("durability")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict:
     named = (
         priority_scan, current_window_scan, private_window_scan, time_window_scan, keyword_scan, top_n_per_type, validity_as_of, owner_validity_page, filtered_page, multi_get, recent_timeline, timeline_window, cross_window_recent,
         pending_windows, summary_trigger, missing_embeddings_antijoin, review_queue, visibility_gate, visibility_gate_private, blocked_reasons, lifecycle_gate, acl_gate, interval_overlap, clean_text, fingerprint, scoped_keys,
-        cjk_bigrams, query_terms, redact_text, session_scopes, normalised_status,
+        cjk_bigrams, query_terms, redact_text, redact_metadata, session_scopes, normalised_status, durability_levels,
     )
     return {f.__name__: f for f in named}
 
@@ -219,6 +243,15 @@ def _clean(column: str, limit: int) -> str:
     return f"CASE WHEN length({flat}) > {limit} THEN rtrim(left({flat}, {limit - 1})) || '…' ELSE {flat} END"
 
 
+def _redacted(text: str) -> str:
+    """Patterns of secrets replaced one after the other."""
+    out = f"regexp_replace({text}, '-----BEGIN [^-\\r\\n]+ PRIVATE KEY-----.*?-----END [^-\\r\\n]+ PRIVATE KEY-----', '[REDACTED]', 'gis')"
+    out = f"regexp_replace({out}, '\\bbearer\\s+[A-Za-z0-9._~+/=-]{{8,}}', 'Bearer [REDACTED]', 'gi')"
+    out = f"regexp_replace({out}, '(https?://[^:/\\s]+:)[^@/\\s]+(@)', '\\1[REDACTED]\\2', 'gi')"
+    names = "password|passwd|api[_-]?key|access[_-]?token|refresh[_-]?token|authorization|client[_-]?secret|private[_-]?key"
+    return f"""regexp_replace({out}, '\\b({names})\\b(\\s*[:=]\\s*)(?:"[^"\\r\\n]*"|''[^''\\r\\n]*''|[^\\s,;\\r\\n]+)', '\\1\\2[REDACTED]', 'gi')"""
+
+
 def oracle_sql() -> dict[str, str]:
     by_importance = "importance DESC NULLS LAST"
     domain = "left(sha1(lower(concat_ws('|', 'domain', owner_bot_id, platform, scope, session_id, group_id))), 24)"
@@ -260,7 +293,7 @@ FROM m LEFT JOIN w ON m.os = w.os AND m.oi = w.oi""",
         "interval_overlap": "SELECT id FROM memories WHERE valid_from < '2026-05-12'::TIMESTAMPTZ AND coalesce(valid_to, valid_from + INTERVAL 1 SECOND) > '2026-05-10'::TIMESTAMPTZ",
         "clean_text": f"SELECT doc_id, {_clean('text', 80)} AS cleaned FROM documents",
         "fingerprint": rf"""WITH p AS (SELECT id, lower({_clean('memory_type', 1000)}) AS a, lower({_clean('subject.id', 1000)}) AS b, CASE WHEN evidence IS NOT NULL THEN lower({_clean('evidence', 1000)}) END AS c,
-  CASE WHEN content IS NOT NULL THEN lower({_clean("lower(regexp_replace(content, '[^\x00-\x7F]', '', 'g'))", 1000)}) END AS d FROM memories)
+  CASE WHEN content IS NOT NULL THEN lower({_clean("content", 1000)}) END AS d FROM memories)
 SELECT id, sha1(concat_ws('|', a, b, c, d)) AS fingerprint FROM p""",
         "scoped_keys": f"""SELECT id, concat_ws(':', 'mav2', {domain}, sha1(lower(concat_ws('|', 'canonical', memory_type, id)))) AS key,
   concat_ws(':', 'mav2', {domain}, CASE WHEN regexp_matches(lower(coalesce(canonical_key, '')), '^mav2:[0-9a-f]{{24}}:[0-9a-f]{{40}}$') THEN split_part(lower(canonical_key), ':', 3) ELSE sha1('x') END) AS rekeyed FROM memories""",
@@ -273,8 +306,17 @@ s AS (SELECT ref_id, k, unnest(CASE WHEN regexp_matches(w, '^[\x{4e00}-\x{9fff}]
   generate_subscripts(CASE WHEN regexp_matches(w, '^[\x{4e00}-\x{9fff}]{4,}$') THEN list_append(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), w) ELSE [w] END, 1) AS i FROM w),
 f AS (SELECT ref_id, term, min(k * 100000 + i) AS pos FROM s WHERE length(term) >= 2 GROUP BY 1, 2), n AS (SELECT ref_id, term, row_number() OVER (PARTITION BY ref_id ORDER BY pos) - 1 AS place FROM f)
 SELECT ref_id, CAST(place AS INT) AS place, term FROM n WHERE place < 24""",
-        "redact_text": r"""SELECT id, content || ' token=[redacted] see https://[redacted]@host/x Bearer [redacted]' AS clean FROM timeline""",
-        "session_scopes": """SELECT CASE WHEN lower(split_part(session_id, ':', 2)) LIKE '%group%' THEN 'group' WHEN lower(split_part(session_id, ':', 2)) LIKE '%friend%' THEN 'private' ELSE 'unknown' END AS scope, split_part(session_id, ':', 3) AS target, count(*) AS n
-FROM timeline WHERE session_id IS NOT NULL GROUP BY 1, 2""",
-        "normalised_status": "SELECT CASE WHEN validity_status IN ('active', 'superseded', 'expired', 'archived', 'quarantined') THEN validity_status ELSE 'quarantined' END AS validity, CASE WHEN sensitivity IN ('public', 'internal') THEN sensitivity ELSE 'restricted' END AS sensitivity, count(*) AS n FROM memories GROUP BY 1, 2",
+        "redact_text": f"""SELECT id, {_redacted("content || '" + SECRETS.replace("'", "''") + " PASSWORD=' || id")} AS clean FROM timeline""",
+        "redact_metadata": f"""SELECT id, metadata->>'trace' AS trace, metadata->>'message_id' AS message_id, '[REDACTED]' AS db_password, 'password: [REDACTED]' AS remark FROM timeline WHERE metadata LIKE '{{"%'""",
+        "session_scopes": """WITH k AS (SELECT unnest([session_id, 'x:Group:y:' || p, 'x:PrivateMessage:' || p, 'x:friend:' || p, 'x:MyGroup:' || p, 'p:GroupMessage:friend:' || p]) AS k FROM (SELECT session_id, split_part(session_id, ':', -1) AS p FROM timeline WHERE session_id IS NOT NULL)),
+l AS (SELECT k, lower(k) AS l FROM k), s AS (SELECT CASE WHEN contains(l, ':groupmessage:') OR contains(l, ':group:') THEN 'group' WHEN contains(l, ':friendmessage:') OR contains(l, ':privatemessage:') OR contains(l, ':friend:') OR contains(l, ':private:') THEN 'private' ELSE 'unknown' END AS scope,
+  CASE WHEN contains(l, ':groupmessage:') THEN regexp_extract(k, '(?i)^.*:groupmessage:(.*)$', 1) WHEN contains(l, ':group:') THEN split_part(k, ':', -1) WHEN contains(l, ':friendmessage:') THEN regexp_extract(k, '(?i)^.*:friendmessage:(.*)$', 1)
+    WHEN contains(l, ':privatemessage:') THEN regexp_extract(k, '(?i)^.*:privatemessage:(.*)$', 1) WHEN contains(l, ':friend:') OR contains(l, ':private:') THEN split_part(k, ':', -1) ELSE '' END AS target FROM l)
+SELECT scope, target, count(*) AS n FROM s GROUP BY 1, 2""",
+        "normalised_status": """WITH v AS (SELECT 'validity' AS field, lower(trim(unnest([validity_status, NULL, '', ' Deleted ', 'PRIVATE', upper(validity_status), 'odd']))) AS v FROM memories), s AS (SELECT 'sensitivity' AS field, lower(trim(unnest([sensitivity, NULL, '', ' Deleted ', 'PRIVATE', upper(sensitivity), 'odd']))) AS v FROM memories),
+r AS (SELECT field, CASE WHEN coalesce(v, '') = '' THEN 'active' WHEN v IN ('active', 'superseded', 'expired', 'archived', 'deleted', 'quarantined') THEN v ELSE 'quarantined' END AS value FROM v
+UNION ALL SELECT field, CASE WHEN coalesce(v, '') = '' THEN 'private' WHEN v IN ('public', 'internal', 'private', 'restricted') THEN v ELSE 'restricted' END FROM s) SELECT field, value, count(*) AS n FROM r GROUP BY 1, 2""",
+        "durability_levels": """WITH k AS (SELECT lower(trim(unnest([memory_type, 'Open_Loop', 'current_state']))) AS k, lower(trim(durability)) AS d FROM memories)
+SELECT CASE WHEN k IN ('manual_memory', 'explicit_memory') THEN 'pinned' WHEN k IN ('user_profile', 'user_preference', 'relationship_claim', 'promise', 'open_loop', 'creative_work') THEN 'durable' WHEN k IN ('emotion_state', 'current_state', 'schedule_fragment', 'bot_detail_fragment', 'proactive_message') THEN 'short'
+  WHEN k IN ('raw_event', 'timeline_event') THEN 'ephemeral' WHEN d IN ('ephemeral', 'short', 'normal', 'durable', 'pinned') THEN d ELSE 'normal' END AS level, count(*) AS n FROM k GROUP BY 1""",
     }
