@@ -36,11 +36,27 @@ def merge_identities(identities: DataFrame) -> DataFrame:
     return identities.groupBy("platform", "entity_kind", "entity_id").agg(latest("display_name", at).alias("display_name"), latest("role", at).alias("role"), F.max("confidence").alias("confidence"), alias.alias("aliases"))
 
 
-def relationship_edges(timeline: DataFrame) -> DataFrame:
-    """Who addressed whom, per scope and session: messages, first and last time, and a confidence that grows with them."""
-    rows = timeline.where("subject_id is not null and object_id is not null and subject_id <> object_id")
-    grown = rows.groupBy("subject_id", "object_id", "scope", "session_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
-    return grown.withColumn("confidence", F.round(F.least(F.lit(1.0), 0.3 + 0.1 * F.log2(F.col("n_events") + F.lit(1.0))), 6))
+#: What a relationship is told apart by.
+RELATION = ("subject_kind", "subject_id", "object_kind", "object_id", "relation_type", "scope", "session_id")
+
+
+def merge_relationships(observed: DataFrame, order: str = "seen_at") -> DataFrame:
+    """One row per relationship (``RELATION``; null counts as ''): the greatest confidence, held to [0, 1], and everything else of the observation seen last.
+
+    ``observed`` further has subject_name, object_name, visibility, evidence,
+    confidence, review_status, source_memory_id, metadata (a flat JSON object),
+    id and ``order``. Metadata are merged field by field, the later value
+    winning; group_id, created_at and id stay those of the first observation.
+    All aggregates combine map-side; no array of a key's rows is built.
+    """
+    rows = observed.withColumns({c: F.coalesce(c, F.lit("")) for c in RELATION}).withColumn("__at", F.struct(order, "id"))
+    told = ("subject_name", "object_name", "visibility", "evidence", "review_status", "source_memory_id")
+    merged = rows.groupBy(*RELATION).agg(
+        F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))).alias("confidence"), F.max_by(F.struct(*told), "__at").alias("told"), F.min_by(F.struct("id", "group_id", F.col(order).alias("created_at")), "__at").alias("first"), F.max(order).alias("updated_at"), F.count(F.lit(1)).alias("n_observed")
+    )
+    fields = rows.select(*RELATION, "__at", F.explode(F.from_json("metadata", "map<string,string>")).alias("field", "value"))
+    fields = fields.groupBy(*RELATION, "field").agg(F.max_by("value", "__at").alias("value")).groupBy(*RELATION).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("metadata"))
+    return merged.join(fields, list(RELATION), "left").select("first.*", *RELATION, "told.*", "confidence", "updated_at", "n_observed", F.to_json(F.coalesce("metadata", F.create_map().cast("map<string,string>"))).alias("metadata"))
 
 
 def single_value_conflicts(records: DataFrame, domain: list[str], value: str) -> DataFrame:
@@ -59,11 +75,20 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str)
 def fold_reactions(reactions: DataFrame, low: float = 0.0, high: float = 1.0, start: float = 0.5) -> DataFrame:
     """(key, level) after all bounded deltas in order, each source once: the level is held to [low, high] at every step.
 
-    Composed clamped additions stay of the form clamp(x + a, b, c), so each
-    delta is such a triple and an ordered array of one key is folded without
-    Python.
+    Composed bounded additions stay of the form min(c, max(b, x + a)), so a
+    stretch of deltas is three numbers. Rows are put into stretches by range,
+    which divides a busy key, each stretch is folded by itself, and then the
+    stretches of a key, of which there is at most one per partition.
     """
-    once = reactions.groupBy("key", "source_id").agg(F.min_by(F.struct("at", "delta"), F.struct("at", "delta")).alias("e"))
-    ordered = once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("e.at", "source_id", "e.delta"))).alias("events"))
-    step = lambda x, e: F.greatest(F.lit(low), F.least(F.lit(high), x + e["delta"]))
-    return ordered.select("key", F.aggregate("events", F.lit(start), step).alias("level"))
+    once = reactions.groupBy("key", "source_id").agg(F.min(F.struct("at", "delta")).alias("e")).select("key", F.col("e.at").alias("at"), "source_id", F.col("e.delta").alias("delta"))
+    placed = once.repartitionByRange("key", "at", "source_id").withColumn("part", F.spark_partition_id())
+    nothing = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("b"), F.lit(float("inf")).alias("c"))
+    held = lambda x, f: F.least(f["c"], F.greatest(f["b"], x + f["a"]))
+
+    def after(f: Column, g: Column) -> Column:
+        return F.struct((f["a"] + g["a"]).alias("a"), held(f["b"], g).alias("b"), held(f["c"], g).alias("c"))
+
+    bounded = lambda e: F.struct(e["delta"].alias("a"), F.lit(low).alias("b"), F.lit(high).alias("c"))
+    stretch = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "source_id", "delta"))), nothing, lambda f, e: after(f, bounded(e)))
+    stretches = placed.groupBy("key", "part").agg(stretch.alias("f"))
+    return stretches.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("part", "f"))), F.lit(start), lambda x, s: held(x, s["f"])).alias("level"))

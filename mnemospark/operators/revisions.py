@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +36,27 @@ def compare_and_set(changes: DataFrame, key: str, at: str = "at") -> DataFrame:
     """(key, revision, applied, deleted) after changes in order; each must carry the current revision + 1, a tombstone is final.
 
     ``changes``: key, at, event_id, revision, tombstone; an event id counts
-    once. The state is one small struct, folded over a key's ordered changes.
+    once. What a change does depends on all before it, so a key's changes are
+    gone through in order; they stream by in batches, and only the state of the
+    current key is held.
     """
-    once = changes.groupBy(key, "event_id").agg(F.min(F.struct(at, "revision", "tombstone")).alias("c"))
-    ordered = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(f"c.{at}").alias("at"), "event_id", F.col("c.revision").alias("revision"), F.col("c.tombstone").alias("tombstone")))).alias("changes"))
-    start = F.struct(F.lit(0).cast("bigint").alias("revision"), F.lit(0).cast("bigint").alias("applied"), F.lit(False).alias("deleted"))
-
-    def step(s: Column, c: Column) -> Column:
-        ok = (~s["deleted"]) & (c["revision"] == s["revision"] + 1)
-        return F.struct(F.when(ok, c["revision"]).otherwise(s["revision"]).alias("revision"), (s["applied"] + ok.cast("bigint")).alias("applied"), (s["deleted"] | (ok & c["tombstone"])).alias("deleted"))
-
-    return ordered.select(key, F.aggregate("changes", start, step).alias("s")).select(key, "s.*")
+    once = changes.groupBy(key, "event_id").agg(F.min(F.struct(at, "revision", "tombstone")).alias("c")).select(key, F.col(f"c.{at}").alias("at"), "event_id", F.col("c.revision").alias("revision"), F.col("c.tombstone").alias("tombstone"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, None
+        for part in parts:
+            out = []
+            for k, revision, dead in zip(part[key], part["revision"], part["tombstone"], strict=True):
+                if state is None or k != held:
+                    if state is not None:
+                        out.append((held, *state))
+                    held, state = k, (0, 0, False)
+                if not state[2] and revision == state[0] + 1:
+                    state = (int(revision), state[1] + 1, bool(dead))
+            yield pd.DataFrame(out, columns=[key, "revision", "applied", "deleted"])
+        if state is not None:
+            yield pd.DataFrame([(held, *state)], columns=[key, "revision", "applied", "deleted"])
+
+    kind = changes.schema[key].dataType.simpleString()
+    ordered = once.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "at", "event_id").select(key, "revision", F.coalesce("tombstone", F.lit(False)).alias("tombstone"))
+    return ordered.mapInPandas(run, f"{key} {kind}, revision bigint, applied bigint, deleted boolean")

@@ -26,7 +26,12 @@ def identity_merge(spark, sf_dir):
 
 
 def relationship_edges(spark, sf_dir):
-    return merging.relationship_edges(_timeline(spark, sf_dir))
+    """Each memory is an observation that its type relates its subject and object."""
+    m = _memories(spark, sf_dir)
+    ends = [F.col(f"{s}.{p}").alias(f"{s}_{p}") for s in ("subject", "object") for p in ("kind", "id", "name")]
+    observed = m.select("id", *ends, F.col("memory_type").alias("relation_type"), "scope", "session_id", "group_id", "visibility", "evidence", "confidence", "review_status", F.col("id").alias("source_memory_id"), "metadata", F.coalesce("updated_at", "created_at").alias("seen_at"))
+    out = merging.merge_relationships(observed)
+    return out.select(*merging.RELATION, "id", "group_id", "subject_name", "visibility", "evidence", "source_memory_id", F.round("confidence", 9).alias("confidence"), "updated_at", "n_observed", F.size(F.from_json("metadata", "map<string,string>")).alias("n_fields"))
 
 
 def single_value_conflicts(spark, sf_dir):
@@ -97,17 +102,22 @@ def compare_and_set(spark, sf_dir):
     return revisions.compare_and_set(changes, "key").select("key", "revision", "applied", "deleted")
 
 
-def burst_merge(spark, sf_dir):
+def _turns(spark, sf_dir):
     rows = table(spark, sf_dir, "parsed_messages", "row_id", "import_batch_id", "speaker", "occurred_at", "content")
     return segments.turns(rows, "import_batch_id", "occurred_at", "speaker", "content", "row_id")
 
 
+def burst_merge(spark, sf_dir):
+    return _turns(spark, sf_dir).drop("closes", "opens")
+
+
 def segment_limits(spark, sf_dir):
-    return segments.limited_segments(burst_merge(spark, sf_dir), "import_batch_id")
+    """Speakers whose name has an 'a' are the users, so that both sides talk; limits are small, so that they act."""
+    return segments.limited_segments(_turns(spark, sf_dir), "import_batch_id", F.lower("speaker").contains("a"), max_turns=6, max_chars=400)
 
 
 def package_prefix(spark, sf_dir):
-    rows = burst_merge(spark, sf_dir).groupBy("import_batch_id", "piece").agg(F.sum("n_chars").alias("chars"))
+    rows = _turns(spark, sf_dir).groupBy("import_batch_id", "piece").agg(F.sum("n_chars").alias("chars"))
     return segments.first_package(rows, "import_batch_id", "piece", "chars").select("import_batch_id", "piece", "used")
 
 
@@ -131,17 +141,21 @@ def raw_retention(spark, sf_dir):
     return reports.raw_retention(_memories(spark, sf_dir), _at("2026-05-12"))
 
 
+#: When the memories are old enough for some to fade.
+LATER = "2027-03-01 00:00:00"
+
+
 def decay_score(spark, sf_dir):
-    return reports.decay_scores(_memories(spark, sf_dir), _at(NOW)).select("id", "score")
+    return reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)).select("id", "age_days", "idle_days", "score")
 
 
 def decay_groups(spark, sf_dir):
-    return reports.decay_groups(reports.decay_scores(_memories(spark, sf_dir), _at(NOW)), 0.1)
+    return reports.decay_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)))
 
 
 def decay_summary(spark, sf_dir):
-    out = reports.summarise_groups(_memories(spark, sf_dir).where("lifecycle = 'stable_memory'"), ["owner_bot_id", "platform", "scope"])
-    return out.select("owner_bot_id", "platform", "scope", "n", "start_at", "end_at", "importance", F.concat_ws("|", "evidence").alias("evidence"))
+    out = reports.summarise_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)))
+    return out.select(*reports.DECAY_GROUP, "n", "start_at", "end_at", "importance", F.concat_ws("|", "evidence").alias("evidence"))
 
 
 def usage_report(spark, sf_dir):
@@ -186,12 +200,29 @@ _REVISED = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type,
 _TURNS = """m AS (SELECT *, epoch_us(occurred_at) AS us FROM parsed_messages WHERE import_batch_id IS NOT NULL AND occurred_at IS NOT NULL), p AS (SELECT *, sum(new) OVER (PARTITION BY import_batch_id ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS piece FROM (
   SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY import_batch_id ORDER BY us, row_id) <= 7200000000 THEN 0 ELSE 1 END AS new FROM m)), q AS (SELECT * EXCLUDE (new), CASE WHEN row_number() OVER w > 1 AND speaker IS NOT DISTINCT FROM lag(speaker) OVER w AND us - lag(us) OVER w <= 120000000 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY import_batch_id, piece ORDER BY us, row_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY import_batch_id, piece ORDER BY us, row_id ROWS UNBOUNDED PRECEDING) AS turn FROM q),
-t AS (SELECT import_batch_id, piece::BIGINT AS piece, turn::BIGINT AS turn, any_value(speaker) AS speaker, min(us) AS start_us, max(us) AS end_us, count(*) AS n_messages, sum(length(coalesce(content, '')))::BIGINT AS n_chars FROM s GROUP BY 1, 2, 3)"""
+t AS (SELECT import_batch_id, piece::BIGINT AS piece, turn::BIGINT AS turn, any_value(speaker) AS speaker, min(us) AS start_us, max(us) AS end_us, count(*) AS n_messages, sum(length(coalesce(content, '')))::BIGINT AS n_chars,
+  bool_or(regexp_matches(regexp_replace(coalesce(content, ''), '\\s+', '', 'g'), '晚安|睡吧|先这样|回聊|不聊了|下次聊|拜拜|再见')) AS closes, bool_or(regexp_matches(regexp_replace(coalesce(content, ''), '\\s+', '', 'g'), '早|在吗|醒了吗|新年快乐')) AS opens, coalesce(contains(lower(any_value(speaker)), 'a'), false) AS mine FROM s GROUP BY 1, 2, 3)"""
 _OW = """w AS (SELECT *, CASE WHEN scope = 'group' AND coalesce(group_id, CASE WHEN lower(session_id) LIKE '%:groupmessage:%' THEN split_part(session_id, ':', 3) END) IS NOT NULL THEN 'group' WHEN scope = 'private' AND coalesce(CASE WHEN subject.kind = 'user' THEN subject.id END, CASE WHEN object.kind = 'user' THEN object.id END) IS NOT NULL THEN 'private' END AS ws,
   CASE WHEN scope = 'group' THEN coalesce(group_id, CASE WHEN lower(session_id) LIKE '%:groupmessage:%' THEN split_part(session_id, ':', 3) END) WHEN scope = 'private' THEN coalesce(CASE WHEN subject.kind = 'user' THEN subject.id END, CASE WHEN object.kind = 'user' THEN object.id END) END AS wi FROM memories)"""
-_DECAY = f"""d AS (SELECT *, greatest(0.0, (epoch_us('{NOW}'::TIMESTAMPTZ) - epoch_us({_SEEN})) / 86400000000.0) AS age, greatest(0.0, (epoch_us('{NOW}'::TIMESTAMPTZ) - epoch_us(coalesce(last_accessed_at, {_SEEN}))) / 86400000000.0) AS idle,
-  CASE durability WHEN 'ephemeral' THEN 3.0 WHEN 'short' THEN 21.0 WHEN 'durable' THEN 365.0 ELSE 90.0 END AS span FROM memories WHERE lifecycle = 'stable_memory' AND durability <> 'pinned'),
-c AS (SELECT id, owner_bot_id, platform, scope, visibility, round((0.5 * least(1.0, age / span) + 0.5 * least(1.0, idle / span)) * (1.0 - 0.5 * coalesce(importance, 0)), 6) AS score FROM d)"""
+def _json(name: str) -> str:
+    return f"(metadata->>'{name}')"
+
+
+_UNIT = "greatest(0.0, least(1.0, coalesce({0}, 0.0)))"
+_DECAY = f"""d AS (SELECT *, lower(trim(coalesce({_json("decay_mode")}, ''))) AS dmode, lower(trim(coalesce({_json("relationship_phase")}, ''))) AS phase, coalesce(nullif(lower(trim(durability)), ''), 'normal') AS dur, coalesce(occurred_at, created_at) AS anchor,
+  greatest({", ".join(_UNIT.format(f"TRY_CAST({_json(w)} AS DOUBLE)") for w in ("promise_weight", "open_loop_weight", "creative_weight", "scar_weight", "emotional_debt_weight"))}) AS weight, {_UNIT.format(f"TRY_CAST({_json('freshness_weight')} AS DOUBLE)")} AS fresh, {_UNIT.format("importance")} AS imp, {_UNIT.format("confidence")} AS conf FROM memories),
+a AS (SELECT *, greatest(0.0, (epoch_us('{LATER}'::TIMESTAMPTZ) - epoch_us(anchor)) / 86400000000.0) AS age, greatest(0.0, (epoch_us('{LATER}'::TIMESTAMPTZ) - epoch_us(coalesce(last_injected_at, last_accessed_at, anchor))) / 86400000000.0) AS idle,
+  CASE WHEN imp > 0.74 THEN 1.0 + least(3.0, (imp - 0.74) / (1.0 - 0.74) * 3.0) ELSE 1.0 END AS spared, CASE dur WHEN 'ephemeral' THEN 0.05 WHEN 'short' THEN 0.35 WHEN 'durable' THEN 4.0 ELSE 1.0 END AS fa, CASE dur WHEN 'ephemeral' THEN 0.05 WHEN 'short' THEN 0.35 WHEN 'durable' THEN 3.0 ELSE 1.0 END AS fi FROM d
+  WHERE dmode <> 'no_decay' AND lower(coalesce(memory_type, '')) NOT IN ('manual_memory', 'explicit_memory', 'companion_note') AND NOT list_has_any(list_transform(coalesce(tags, []), lambda t: lower(trim(coalesce(t, '')))), ['manual', 'needs_review', 'protected', 'no_decay', 'keep'])
+  AND coalesce(visibility, '') <> 'bot_self' AND coalesce(source_plugin, '') <> 'memory_companion_tool' AND anchor IS NOT NULL AND dur <> 'pinned'),
+l AS (SELECT *, greatest(1, floor(180 * (fa::DOUBLE * spared * (1.0 + weight * 2.0)))) AS la, greatest(1, floor(90 * (fi::DOUBLE * greatest(1.0, CASE WHEN imp > 0.74 THEN spared * 0.75 ELSE 1.0 END) * (1.0 + weight * 1.5)))) AS li FROM a),
+r AS (SELECT *, (least(3.0, age / la) * 0.35 + least(3.0, idle / li) * 0.35 + (1.0 - imp) * 0.2 + (1.0 - conf) * 0.1) * CASE dmode WHEN 'slow_decay' THEN 0.72 WHEN 'summary_decay' THEN 0.86 ELSE 1.0 END * CASE WHEN dmode IN ('scar_slow_decay', 'creative_milestone') OR phase IN ('conflict', 'repair', 'comfort') THEN 0.62 ELSE 1.0 END
+  * CASE WHEN fresh >= 0.45 THEN 0.82 ELSE 1.0 END AS eased, {_UNIT.format(f"coalesce(nullif(reinforcement_score, 0.0), TRY_CAST({_json('reinforcement_score')} AS DOUBLE), 0.0)")} AS held FROM l WHERE age >= la AND idle >= li),
+f AS (SELECT *, greatest(0.0, eased - 0.25 * held * pow(2.0, -idle / 60.0)) AS exact FROM r),
+c AS (SELECT id, round(age, 1) AS age_days, round(idle, 1) AS idle_days, round(exact, 3) AS score, importance, coalesce(occurred_at, created_at) AS seen, coalesce(nullif(trim(platform), ''), 'unknown_platform') AS platform, coalesce(nullif(trim(owner_bot_id), ''), 'legacy_bot_owner') AS owner_bot_id, coalesce(nullif({_json("persona_id")}, ''), 'legacy_persona') AS persona_id,
+  coalesce(nullif(trim(scope), ''), 'unknown') AS scope, coalesce(CASE WHEN scope = 'group' OR visibility = 'group_public' THEN coalesce(nullif(group_id, ''), nullif(object.id, ''), nullif(subject.id, ''), nullif(session_id, ''))
+    WHEN scope = 'private' OR visibility = 'private_pair' THEN coalesce(CASE WHEN subject.kind = 'user' AND subject.id NOT IN ('', 'self') THEN subject.id END, CASE WHEN object.kind = 'user' AND object.id NOT IN ('', 'self') THEN object.id END, nullif(session_id, ''), nullif(group_id, ''), nullif(object.id, ''), nullif(subject.id, ''))
+    ELSE coalesce(nullif(session_id, ''), nullif(group_id, ''), nullif(object.id, ''), nullif(subject.id, '')) END, '') AS owner_id, coalesce(trim(visibility), '') AS visibility FROM f WHERE exact >= 0.75)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -204,7 +235,13 @@ SELECT id, keep_id FROM memories JOIN k ON content = k WHERE id <> keep_id""",
         "identity_merge": f"""WITH a AS (SELECT platform, entity_kind, entity_id, array_to_string(list_sort(list(DISTINCT alias)), '|') AS aliases FROM (SELECT platform, entity_kind, entity_id, unnest(list_append(coalesce(aliases, []), display_name)) AS alias FROM identities) WHERE alias IS NOT NULL GROUP BY 1, 2, 3),
 g AS (SELECT platform, entity_kind, entity_id, first(display_name {newest.format("display_name")}) AS display_name, first(role {newest.format("role")}) AS role, max(confidence) AS confidence FROM identities GROUP BY 1, 2, 3)
 SELECT g.*, coalesce(aliases, '') AS aliases FROM g LEFT JOIN a ON a.entity_id = g.entity_id AND a.platform IS NOT DISTINCT FROM g.platform AND a.entity_kind IS NOT DISTINCT FROM g.entity_kind""",
-        "relationship_edges": "SELECT subject_id, object_id, scope, session_id, count(*) AS n_events, min(occurred_at) AS first_at, max(occurred_at) AS last_at, round(least(1.0, 0.3 + 0.1 * log2(count(*) + 1)), 6) AS confidence FROM timeline WHERE subject_id IS NOT NULL AND object_id IS NOT NULL AND subject_id <> object_id GROUP BY 1, 2, 3, 4",
+        "relationship_edges": """WITH o AS (SELECT coalesce(subject.kind, '') AS subject_kind, coalesce(subject.id, '') AS subject_id, coalesce(object.kind, '') AS object_kind, coalesce(object.id, '') AS object_id, coalesce(memory_type, '') AS relation_type, coalesce(scope, '') AS scope, coalesce(session_id, '') AS session_id,
+  id, group_id, subject.name AS subject_name, visibility, evidence, confidence, metadata, coalesce(updated_at, created_at) AS seen FROM memories),
+f AS (SELECT subject_kind, subject_id, object_kind, object_id, relation_type, scope, session_id, count(DISTINCT k) AS n_fields FROM (SELECT *, unnest(json_keys(metadata)) AS k FROM o WHERE metadata IS NOT NULL) GROUP BY ALL),
+g AS (SELECT subject_kind, subject_id, object_kind, object_id, relation_type, scope, session_id, first(id ORDER BY seen NULLS FIRST, id) AS id, first(group_id ORDER BY seen NULLS FIRST, id) AS group_id, last(subject_name ORDER BY seen NULLS FIRST, id) AS subject_name, last(visibility ORDER BY seen NULLS FIRST, id) AS visibility,
+  last(evidence ORDER BY seen NULLS FIRST, id) AS evidence, last(id ORDER BY seen NULLS FIRST, id) AS source_memory_id, round(max(greatest(0.0, least(1.0, coalesce(confidence, 0.0)))), 9) AS confidence, max(seen) AS updated_at, count(*) AS n_observed
+  FROM o GROUP BY subject_kind, subject_id, object_kind, object_id, relation_type, scope, session_id)
+SELECT g.*, coalesce(n_fields, 0)::INT AS n_fields FROM g LEFT JOIN f USING (subject_kind, subject_id, object_kind, object_id, relation_type, scope, session_id)""",
         "single_value_conflicts": "SELECT owner_bot_id, subject.id AS subject_id, count(DISTINCT canonical_key) AS n_values, count(*) AS n_rows FROM memories WHERE memory_type = 'preference' AND validity_status = 'active' AND lifecycle <> 'archived' GROUP BY 1, 2 HAVING count(DISTINCT canonical_key) > 1",
         "keyed_upsert": "SELECT id, CASE WHEN importance > 0.8 THEN 2.0 WHEN importance > 0.5 THEN 1.0 ELSE importance END AS importance FROM memories",
         "feedback_fold": """WITH RECURSIVE o AS (SELECT user_id, (value % 10 - 5) / 40 AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -223,7 +260,13 @@ SELECT start, node, min(hops) AS hops FROM h GROUP BY 1, 2""",
         "revision_gaps": f"WITH {_REVISED}, k AS (SELECT concat_ws('/', user_id, event_type, day) AS stream, revision FROM r WHERE event_id % 7 <> 0), g AS (SELECT stream, lag(revision) OVER (PARTITION BY stream ORDER BY revision) AS after, revision AS before FROM k) SELECT * FROM g WHERE before > after + 1",
         "compare_and_set": """WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT user_id, min(n) FILTER (event_type = 'error') AS stop, max(n) AS last FROM o GROUP BY user_id)
 SELECT user_id AS key, coalesce(stop, last) AS revision, coalesce(stop, last) AS applied, stop IS NOT NULL AS deleted FROM f""",
-        "burst_merge": f"WITH {_TURNS} SELECT * FROM t",
+        "burst_merge": f"WITH {_TURNS} SELECT * EXCLUDE (closes, opens, mine) FROM t",
+        "segment_limits": f"""WITH RECURSIVE {_TURNS}, o AS MATERIALIZED (SELECT *, lag(end_us) OVER w AS was, lag(closes) OVER w AS closed, lag(mine) OVER w AS asked FROM t WINDOW w AS (PARTITION BY import_batch_id, piece ORDER BY turn)),
+x AS MATERIALIZED (SELECT *, coalesce(start_us - was > 1800000000 AND ((start_us + 28800000000) // 86400000000 <> (was + 28800000000) // 86400000000 OR closed OR opens), false) AS soft, (mine OR NOT coalesce(asked, false) OR start_us - was > 300000000) AS free FROM o),
+g AS (SELECT import_batch_id, piece, turn, 0 AS segment, 1 AS k, n_chars AS chars FROM x WHERE turn = 1 UNION ALL
+  SELECT x.import_batch_id, x.piece, x.turn, g.segment + CASE WHEN soft OR (free AND (k >= 6 OR chars + x.n_chars > 400)) THEN 1 ELSE 0 END, CASE WHEN soft OR (free AND (k >= 6 OR chars + x.n_chars > 400)) THEN 1 ELSE k + 1 END,
+    CASE WHEN soft OR (free AND (k >= 6 OR chars + x.n_chars > 400)) THEN x.n_chars ELSE chars + x.n_chars END FROM g JOIN x ON x.import_batch_id = g.import_batch_id AND x.piece = g.piece AND x.turn = g.turn + 1)
+SELECT x.import_batch_id, x.piece, x.turn, start_us, end_us, n_messages, n_chars, segment FROM x JOIN g USING (import_batch_id, piece, turn)""",
         "package_prefix": f"""WITH {_TURNS}, g AS (SELECT import_batch_id, piece, sum(n_chars) AS chars FROM t GROUP BY 1, 2), u AS (SELECT import_batch_id, piece, (sum(chars + 300) OVER w)::BIGINT AS used, row_number() OVER w AS nth FROM g WINDOW w AS (PARTITION BY import_batch_id ORDER BY piece ROWS UNBOUNDED PRECEDING))
 SELECT import_batch_id, piece, used FROM u WHERE nth = 1 OR (nth <= 6 AND used <= 4600)""",
         "ack_asof_join": """WITH x AS (SELECT session_id, id, event_type, epoch_us(occurred_at) AS us FROM timeline WHERE session_id IS NOT NULL AND occurred_at IS NOT NULL), j AS (SELECT a.id, a.us, b.id AS reply_id, b.us AS rus, row_number() OVER (PARTITION BY a.id ORDER BY b.us, b.id) AS n
@@ -233,10 +276,11 @@ count(DISTINCT owner_bot_id) AS n_bots, max(CASE WHEN subject.id = wi THEN subje
         "preferred_session": f"WITH g AS (SELECT subject.id AS user_id, session_id, count(*) AS n, max({_SEEN}) AS latest FROM memories WHERE scope = 'private' AND subject.kind = 'user' AND session_id IS NOT NULL AND subject.id IS NOT NULL GROUP BY 1, 2) SELECT user_id, session_id, n FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, latest DESC NULLS LAST, session_id) = 1",
         "stats_by_scope": "SELECT scope AS value, count(*) AS n, false AS total FROM memories GROUP BY scope UNION ALL SELECT NULL, count(*), true FROM memories",
         "raw_retention": f"SELECT id, {_SEEN} AS seen FROM memories WHERE lifecycle = 'raw_event' AND {_SEEN} < '2026-05-12'::TIMESTAMPTZ",
-        "decay_score": f"WITH {_DECAY} SELECT id, score FROM c",
-        "decay_groups": f"WITH {_DECAY} SELECT owner_bot_id, platform, scope, visibility, count(*) AS n, max(score) AS top_score FROM c WHERE score >= 0.1 GROUP BY 1, 2, 3, 4",
-        "decay_summary": f"""WITH r AS (SELECT *, {_SEEN} AS seen, row_number() OVER (PARTITION BY owner_bot_id, platform, scope ORDER BY importance DESC NULLS LAST, id) AS nth FROM memories WHERE lifecycle = 'stable_memory')
-SELECT owner_bot_id, platform, scope, count(*) AS n, min(seen) AS start_at, max(seen) AS end_at, round(greatest(0.45, least(0.78, max(importance) + 0.05)), 6) AS importance, array_to_string(list_sort(list(id) FILTER (nth <= 8)), '|') AS evidence FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 4""",
+        "decay_score": f"WITH {_DECAY} SELECT id, age_days, idle_days, score FROM c",
+        "decay_groups": f"WITH {_DECAY} SELECT platform, owner_bot_id, persona_id, scope, owner_id, visibility, count(*) AS n, max(score) AS top_score FROM c GROUP BY ALL",
+        "decay_summary": f"""WITH {_DECAY}, n AS (SELECT *, row_number() OVER (PARTITION BY platform, owner_bot_id, persona_id, scope, owner_id, visibility ORDER BY score DESC, id) AS nth FROM c)
+SELECT platform, owner_bot_id, persona_id, scope, owner_id, visibility, count(*) AS n, min(seen) AS start_at, max(seen) AS end_at, round(greatest(0.45, least(0.78, max(importance) + 0.05)), 6) AS importance, string_agg(id, '|' ORDER BY nth) FILTER (nth <= 8) AS evidence
+FROM n WHERE nth <= 24 GROUP BY platform, owner_bot_id, persona_id, scope, owner_id, visibility HAVING count(*) >= 4""",
         "usage_report": "SELECT event_type AS task, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS largest FROM events GROUP BY GROUPING SETS ((), (event_type))",
         "scoped_clear_preview": "SELECT 'memories' AS table_name, count(*) AS n FROM memories WHERE group_id = '880000001' UNION ALL SELECT 'timeline', count(*) FROM timeline WHERE session_id LIKE '%:880000001'",
         "cascade_delete": f"WITH {_EDGES} SELECT relation, count(*) AS n FROM e WHERE memory_id NOT IN (SELECT id FROM memories WHERE validity_status = 'expired') GROUP BY relation",
