@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 TOPIC_LIMIT = 12
 
 
@@ -57,13 +59,15 @@ def paths(nodes: DataFrame, edges: DataFrame, terms: list[str], limit: int = 200
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int, relations: list[str] | None = None) -> DataFrame:
-    """(start, node, hops) reached within ``hops`` steps, each at its fewest."""
+    """(start, node, hops) reached within ``hops`` steps, each at its fewest. Edges and each front are cut, so a step costs one step."""
     if relations:
         edges = edges.where(F.col("relation").isin(relations))
+    edges = cut(edges.select("source", "target", "relation", "memory_id"))
     reached = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
     front = reached
     for h in range(1, hops + 1):
         step = neighbours(edges, front).select(F.col("start").alias("via"), "node").distinct()
         front = front.select("start", F.col("node").alias("via")).join(step, "via").select("start", "node").distinct().join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(h))
+        front = cut(front)
         reached = reached.unionByName(front)
     return reached

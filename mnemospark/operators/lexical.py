@@ -15,13 +15,24 @@ def haystack() -> Column:
     return F.lower(F.concat_ws(" ", "content", "evidence", F.concat_ws(" ", "tags"), "subject.name", "subject.id", "object.name", "object.id", "group_id"))
 
 
+def words(text: Column) -> Column:
+    """Runs of letters, digits and '_', lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+
+
 def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """Inverted index (term, key, tf, n_terms): runs of letters, digits and '_', lower-cased. Rows without terms have none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    rows = df.select(F.col(key).alias("key"), words.alias("words")).where(F.size("words") > 0)
+    """Inverted index (term, key, tf, n_terms) of :func:`words`. Rows without terms have none."""
+    rows = df.select(F.col(key).alias("key"), words(text).alias("words")).where(F.size("words") > 0)
     return rows.select("key", F.size("words").alias("n_terms"), F.explode("words").alias("term")).groupBy("term", "key", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def corpus_totals(df: DataFrame, text: Column) -> tuple[int, float]:
+    """(documents with terms, their mean number of terms), without making an index."""
+    n = F.size(words(text))
+    row = df.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    return row.n, row.mean or 1.0
+
+
 def bm25(index: DataFrame, terms: list[str], n_documents: int, mean_terms: float) -> DataFrame:
     """(key, score) of every document that has one of ``terms``.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from . import gates, lexical, scans
 from .scans import Context
 
@@ -51,7 +53,8 @@ def score(memories: DataFrame, fused: DataFrame, terms: list[str], phrase: str |
     A row needs a hit of a term or the phrase if there are terms. idf is taken
     over the candidates. Rows that score 0 or aren't eligible are left out.
     """
-    pool = memories.join(fused, "id").withColumn("hay", lexical.haystack())
+    # Routes are bounded, and so is the pool; it is read twice, for idf and for the scores.
+    pool = cut(memories.join(fused, "id").withColumn("hay", lexical.haystack()))
     idf = {r.term: r.idf for r in lexical.containment_idf(pool, F.col("hay"), terms).collect()} if terms else {}
     hits = sum([F.col("hay").contains(t).cast("int") for t in terms], F.lit(0))
     exact = F.regexp_replace("hay", r"\s+", "").contains(re.sub(r"\s+", "", phrase.lower())) if phrase else F.lit(False)
@@ -84,52 +87,157 @@ def search(memories: DataFrame, terms: list[str], phrase: str | None, ctx: Conte
     return score(seen, fuse(routes + (extra_routes or [])), terms, phrase, ctx, now)
 
 
+# Rows of the full-text and vector routes at most, and the least cosine of the latter.
+FTS_ROWS, VECTOR_ROWS, LEAST_COSINE = 240, 240, 0.34
+
+
+def text_route(memories: DataFrame, terms: list[str], limit: int = FTS_ROWS) -> DataFrame:
+    """(id, route, rank) of the best rows by BM25 over the search text of memories that may be found."""
+    rows = scans.candidates(memories)
+    hay = lexical.haystack()
+    index = lexical.postings(rows, "id", hay)
+    found = lexical.bm25(index, terms, *lexical.corpus_totals(rows, hay)).select(F.col("key").alias("id"), F.round("score", 9).alias("score"))
+    return ranked(scans.top(found, limit, F.col("score").desc()), "fts", F.col("score").desc())
+
+
+def vector_route(memories: DataFrame, near: DataFrame, limit: int = VECTOR_ROWS, least: float = LEAST_COSINE) -> DataFrame:
+    """(id, route, rank) of memories whose vectors are near: ``near`` has id and cosine."""
+    found = scans.candidates(memories).select("id").join(near.where(F.col("cosine") >= least).select("id", F.round("cosine", 9).alias("cosine")), "id")
+    return ranked(scans.top(found, limit, F.col("cosine").desc()), "vector", F.col("cosine").desc())
+
+
+def candidate_pool(memories: DataFrame, terms: list[str], ctx: Context, start: Column | None = None, end: Column | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(id, rrf, routes) over all routes that a search has."""
+    important = F.col("importance").desc_nulls_last()
+    seen = scans.last_seen().desc_nulls_last()
+    routes = [
+        ranked(scans.priority(memories), "priority", important, F.col("occurred_at").desc_nulls_last()), ranked(scans.current_window(memories, ctx), "current_window", important, seen),
+        ranked(scans.containing(memories, terms), "keyword", F.col("session_id").isNull(), important), text_route(memories, terms),
+    ]
+    if start is not None:
+        routes.append(ranked(scans.time_window(memories, start, end), "time_window", important, seen))
+    if near is not None:
+        routes.append(vector_route(memories, near))
+    return fuse(routes)
+
+
+def gated(memories: DataFrame, pool: DataFrame, ctx: Context, now: Column, rules: DataFrame, policies: DataFrame, reader: tuple[str, str]) -> DataFrame:
+    """The pool's memories with rrf, routes and blocked: why a memory may not be told, by the first gate that holds it back, or null.
+
+    Gates are visibility, access rules (a rule that allows opens what only
+    another window hides, one that denies closes everything) and lifecycle.
+    """
+    rows = gates.access(memories.join(pool, "id"), rules, policies, *reader)
+    rows = rows.withColumns({"__v": gates.visibility(ctx), "__s": gates.lifecycle(ctx, now)})
+    window = F.col("__v.reason").isin("other_group_public", "private_pair_not_current_private", "other_private_pair")
+    blocked = (
+        F.when(F.col("acl") == "deny", "acl_deny").when(~F.col("__v.visible") & ~(window & F.col("acl").isin("allow", "open")), F.col("__v.reason"))
+        .when(~F.col("__s.eligible"), F.col("__s.reason"))
+    )
+    return rows.withColumn("blocked", blocked).drop("__v", "__s")
+
+
+def retrieve(
+    memories: DataFrame, terms: list[str], phrase: str | None, ctx: Context, now: Column, rules: DataFrame, policies: DataFrame, reader: tuple[str, str], limits: dict[str, int], total: int,
+    start: Column | None = None, end: Column | None = None, near: DataFrame | None = None, reranked: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(chosen, blocked) of one search, all its steps in one plan over a pool that is bounded by the routes' limits.
+
+    Routes are fused, gates tell what is blocked and why, the rest is scored,
+    combined with ``reranked`` (id, relevance) if given, in which strong lexical
+    matches keep their place, diversified, brought down to the newest of each
+    fact and the best of each import and type, and allotted to slots. chosen:
+    id, slot, round, place, score; blocked: id, reason.
+    """
+    pool = cut(gated(memories, candidate_pool(memories, terms, ctx, start, end, near), ctx, now, rules, policies, reader))
+    blocked = pool.where("blocked is not null").select("id", F.col("blocked").alias("reason"))
+    free = pool.where("blocked is null")
+    fused = free.select("id", "rrf", "routes")
+    found = cut(score(free.drop("rrf", "routes", "blocked", "acl"), fused, terms, phrase, ctx, now))
+    if reranked is not None:
+        both = found.join(reranked.select(F.col("id").alias("__id"), "relevance"), F.col("id") == F.col("__id"), "left").drop("__id").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+        merged = convex(both, "score", "relevance")
+        anchors = merged.select("id", "combined", (F.col("exact") | (F.col("hits") >= 2)).alias("anchor"))
+        placed = anchor_floor(anchors, total).select("id", (-F.col("place")).cast("double").alias("score"))
+        found = found.drop("score").join(placed, "id")
+    order = diversify(found.select(F.lit(1).alias("query_id"), "id", "score", "hay", "tags", "source_plugin"), total).select("id", (-F.col("place")).cast("double").alias("order"))
+    rows = found.join(order, "id").withColumns({"subject_id": F.col("subject.id"), "slot": slot(ctx)})
+    facts = latest_only(rows.where(F.col("memory_type").isin(*PROFILE_TYPES)), ["owner_bot_id", "subject_id", "memory_type"], scans.last_seen().desc_nulls_last(), F.col("order").desc())
+    others = latest_only(rows.where(~F.col("memory_type").isin(*PROFILE_TYPES) | F.col("memory_type").isNull()), ["import_batch_id", "memory_type"], F.col("order").desc())
+    kept = facts.select("id", "slot", "order").unionByName(others.select("id", "slot", "order"))
+    chosen = allot(kept.select("id", "slot", F.col("order").alias("score")), limits, total)
+    return chosen.join(found.select("id", "score"), "id"), blocked
+
+
 def convex(pool: DataFrame, local: str, other: str, group: list[str] | None = None) -> DataFrame:
-    """``pool`` with combined: both scores brought to [0, 1] per group and averaged; a flat local score counts 0.5, a flat other one 1."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    unit = lambda c, flat: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(flat)
-    return pool.withColumn("combined", 0.5 * unit(local, F.lit(0.5)) + 0.5 * unit(other, F.lit(1.0)))
+    """``pool`` with combined: both scores brought to [0, 1] per group and averaged; a flat local score counts 0.5, a flat other one 1.
+
+    The extremes are aggregated map-side and joined back, so no task holds a group.
+    """
+    keys = group or []
+    edges = [f(c).alias(f"__{n}_{i}") for i, c in enumerate((local, other)) for n, f in (("min", F.min), ("max", F.max))]
+    bounds = pool.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*edges)
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True))
+    joined = pool.join(bounds if keys else F.broadcast(bounds), on)
+    unit = lambda i, c, flat: F.when(F.col(f"__max_{i}") > F.col(f"__min_{i}"), (F.col(c) - F.col(f"__min_{i}")) / (F.col(f"__max_{i}") - F.col(f"__min_{i}"))).otherwise(flat)
+    return joined.withColumn("combined", 0.5 * unit(0, local, F.lit(0.5)) + 0.5 * unit(1, other, F.lit(1.0))).select(*pool.columns, "combined")
 
 
-def _features(hay: str, tags, source: str | None) -> set[str]:
-    text = re.sub(r"\s+", "", hay)
-    pairs = sorted({text[i : i + 2] for i in range(max(0, len(text) - 1))})[:180]
-    return {*pairs, *re.findall(r"[a-z0-9_]{2,}", text), *(f"tag:{t.lower()}" for t in (tags if tags is not None else []) if t), *([f"source:{source.lower()}"] if source else [])}
+# How relevance and redundancy weigh against each other, the picks' share of the head and its least size, and the pairs of characters that are looked at.
+RELEVANCE, REDUNDANCY, HEAD_FACTOR, HEAD_LEAST, MOST_PAIRS = 0.84, 0.16, 4, 16, 180
+
+
+def diversity_features(hay: Column, tags: Column, source: Column) -> Column:
+    """Hashes of what two memories may have in common: the first pairs of characters in order of code point, latin words, tags and source."""
+    flat = F.regexp_replace(F.coalesce(hay, F.lit("")), r"\s+", "")
+    pairs = F.when(F.length(flat) > 1, F.transform(F.sequence(F.lit(1), F.length(flat) - 1), lambda i: F.substring(flat, i, 2)))
+    few = F.slice(F.sort_array(F.array_distinct(F.coalesce(pairs, F.array().cast("array<string>")))), 1, MOST_PAIRS)
+    words = F.regexp_extract_all(flat, F.lit("([a-z0-9_]{2,})"), 1)
+    marked = F.transform(F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t) != ""), lambda t: F.concat(F.lit("tag:"), F.lower(F.trim(t))))
+    origin = F.when(F.trim(source) != "", F.array(F.concat(F.lit("source:"), F.lower(F.trim(source))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(few, words, marked, origin), lambda f: F.xxhash64(f)))
 
 
 def diversify(pool: DataFrame, limit: int, query: str = "query_id") -> DataFrame:
     """Maximal marginal relevance per query: adds place, the order after diversifying.
 
-    ``pool`` has query, id, score, hay, tags, source_plugin. The head of
-    max(4 * limit, 16) rows is reordered up to ``limit`` picks by .84 relevance
-    less .16 of the greatest overlap with those picked; every row stays. Only
-    the head goes through Python; rows after it are placed by their rank.
+    ``pool`` has query, id, score, hay, tags, source_plugin. Of the head, the
+    first max(4 * limit, 16) rows by score, ``limit`` are picked one by one,
+    weighing a row's relevance in the head against its greatest overlap with
+    those picked; all other rows follow in their order, and every row stays.
+    Features are made by columns for the head alone. Its overlaps are one
+    product of a 0/1 matrix with itself.
     """
-    size = max(4 * limit, 16)
-
-    def reorder(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
-        head = list(range(len(part)))
-        scores = part["score"].to_numpy()
-        low, high = scores[head].min(), scores[head].max()
-        relevance = [(s - low) / (high - low) if high > low else 1.0 for s in scores]
-        sets = [_features(h or "", t, s) for h, t, s in part.loc[head, ["hay", "tags", "source_plugin"]].itertuples(index=False)]
-        chosen, overlap = [head.pop(0)], [0.0] * len(sets)
-        while head and len(chosen) < limit:
-            for i in head:
-                both = sets[i] | sets[chosen[-1]]
-                overlap[i] = max(overlap[i], len(sets[i] & sets[chosen[-1]]) / len(both) if both else 0.0)
-            best = max(head, key=lambda i: (0.84 * relevance[i] - 0.16 * overlap[i], -i))
-            head.remove(best)
-            chosen.append(best)
-        order = chosen + [i for i in range(len(part)) if i not in set(chosen)]
-        return part.loc[order, [query, "id", "score"]].assign(place=range(1, len(order) + 1))
+    size = max(HEAD_FACTOR * limit, HEAD_LEAST)
+
+    def pick(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place", ignore_index=True)
+        n = len(part)
+        lengths = part["features"].map(len).to_numpy()
+        codes, columns = np.unique(np.concatenate([np.asarray(f, np.int64) for f in part["features"]]), return_inverse=True)
+        has = np.zeros((n, max(1, len(codes))), np.float32)
+        has[np.repeat(np.arange(n), lengths), columns] = 1
+        shared = has @ has.T
+        either = lengths[:, None] + lengths[None, :] - shared
+        overlap = np.divide(shared, either, out=np.zeros_like(shared, np.float64), where=either > 0)
+        scores = part["score"].to_numpy(np.float64)
+        span = scores.max() - scores.min()
+        value = (scores - scores.min()) / span if span > 0 else np.ones(n)
+        worst, place = np.zeros(n), np.zeros(n, np.int64)
+        latest = 0
+        for nth in range(1, min(limit, n) + 1):
+            place[latest] = nth
+            worst = np.maximum(worst, overlap[latest])
+            latest = int(np.where(place > 0, -np.inf, RELEVANCE * value - REDUNDANCY * worst).argmax())
+        place[place == 0] = np.arange(min(limit, n) + 1, n + 1)
+        return part[[query, "id", "score"]].assign(place=place)
 
     kind = pool.schema[query].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc_nulls_last(), "id"))
     ranked = pool.select(query, "id", "score", "hay", "tags", "source_plugin", rank.alias("place"))
-    head = ranked.where(F.col("place") <= size).drop("place").groupBy(query).applyInPandas(reorder, f"{query} {kind}, id string, score double, place int")
-    return head.unionByName(ranked.where(F.col("place") > size).select(query, "id", "score", "place"))
+    head = ranked.where(F.col("place") <= size).select(query, "id", F.coalesce("score", F.lit(0.0)).alias("score"), "place", diversity_features(F.col("hay"), F.col("tags"), F.col("source_plugin")).alias("features"))
+    picked = head.groupBy(query).applyInPandas(pick, f"{query} {kind}, id string, score double, place int")
+    return picked.unionByName(ranked.where(F.col("place") > size).select(query, "id", "score", "place"))
 
 
 def slot(ctx: Context) -> Column:
@@ -189,13 +297,23 @@ def retrieval_metrics(cases: DataFrame, found: DataFrame, k: int) -> DataFrame:
     ``cases``: query, key of each relevant row; ``found``: query, key, rank.
     """
     hits = cases.join(found.where(F.col("rank") <= k), ["query", "key"]).groupBy("query").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("hit"))
-    per = cases.groupBy("query").agg(F.count(F.lit(1)).alias("relevant")).join(hits, "query", "left")
+    return _averages(cases.groupBy("query").agg(F.count(F.lit(1)).alias("relevant")).join(hits, "query", "left"), k)
+
+
+def _averages(per: DataFrame, k: int) -> DataFrame:
     return per.agg(
         F.count(F.lit(1)).alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0)) / F.least("relevant", F.lit(k))), 6).alias("recall_at_k"), F.round(F.avg(1.0 / F.col("best")), 6).alias("mrr"), F.round(F.avg(F.coalesce((F.col("best") == 1).cast("double"), F.lit(0.0))), 6).alias("hit_at_1")
     )
 
 
-def p95(values: Column) -> Column:
-    """The value at index int(n * .95) - 1 of the sorted values, at least the first."""
-    ordered = F.array_sort(values)
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * 0.95)).cast("int"))
+def label_metrics(asked: DataFrame, rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """:func:`retrieval_metrics` where all other rows of a query's label are relevant: (query, label), (key, label) and (query, key, rank).
+
+    Relevant rows are only counted per label, so the work grows with what was
+    found and not with the size of a label.
+    """
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    per = asked.join(sizes, "label").where("n > 1").select("query", "label", (F.col("n") - 1).alias("relevant"))
+    near = found.where((F.col("rank") <= k) & (F.col("query") != F.col("key"))).join(rows.select("key", F.col("label").alias("found_label")), "key")
+    hits = near.join(per.select("query", "label"), "query").where("label = found_label").groupBy("query").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("hit"))
+    return _averages(per.join(hits, "query", "left"), k)

@@ -63,11 +63,14 @@ def knn_exact(df: DataFrame, queries: DataFrame, key: str, vector: str, dimensio
 
     Vectors of another dimension, or with nulls, are left out; zero vectors
     have cosine 0. The stated query set is packed into blocks, as are the
-    rows; each pair of blocks is one matrix product whose best ``k`` go on.
+    rows. Blocks of rows are dealt over a grid whose other side are the blocks
+    of queries, of which each column of the grid gets every one, so blocks meet
+    by an equi-join and each two are one matrix product whose best ``k`` go on.
     """
-    rows = _blocks(_usable(df, key, vector, dimension), BLOCK)
-    asked = _blocks(_usable(queries, key, vector, dimension).coalesce(4), BLOCK).select(F.col("keys").alias("qkeys"), F.col("data").alias("qdata"))
-    pairs = rows.join(asked, how="cross").select("qkeys", "qdata", "keys", "data")
+    wide = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _blocks(_usable(df, key, vector, dimension), BLOCK).withColumn("cell", F.pmod(F.xxhash64(F.element_at("keys", 1), F.size("keys")), F.lit(wide)))
+    asked = _blocks(_usable(queries, key, vector, dimension), BLOCK).select(F.col("keys").alias("qkeys"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(wide - 1).cast("bigint"))).alias("cell"))
+    pairs = rows.join(asked, "cell").select("qkeys", "qdata", "keys", "data")
     return _top(pairs.mapInPandas(_best(k, threshold), "query bigint, key bigint, cosine double"), k)
 
 
@@ -88,28 +91,31 @@ def fit_cells(df: DataFrame, key: str, vector: str, dimension: int, cells: int,
 def knn_cells(df: DataFrame, queries: DataFrame, key: str, vector: str, dimension: int, centres: np.ndarray, probes: int, k: int = 10) -> DataFrame:
     """Like :func:`knn_exact`, but rows are compared with queries that probe their cell only.
 
-    Every row is indexed; large cells are salted into blocks, so no task holds
-    a cell, and queries join cells by equality.
+    Every row is indexed. Cells are counted, and one of more than ``BLOCK``
+    rows is dealt into several parts, each of which meets all the cell's
+    queries; rows and queries of a part are packed, so a part is a few matrix
+    products and no task holds a cell.
     """
 
     def cells_of(n: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 if len(part):
-                    near = np.argsort(-(_matrix(part["vector"]) @ centres.T), axis=1)[:, :n]
-                    yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), near.shape[1]), "vector": part["vector"].repeat(near.shape[1]).to_list(), "cell": near.ravel()})
+                    unit = _matrix(part["vector"])
+                    near = np.argsort(-(unit @ centres.T), axis=1)[:, :n]
+                    data = [v.tobytes() for v in unit]
+                    yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), near.shape[1]), "data": np.repeat(np.array(data, object), near.shape[1]), "cell": near.ravel()})
 
         return run
 
-    schema = "key bigint, vector array<double>, cell int"
-    rows = _usable(df, key, vector, dimension).mapInPandas(cells_of(1), schema)
-    asked = _usable(queries, key, vector, dimension).mapInPandas(cells_of(probes), schema).select(F.col("key").alias("qkey"), F.col("vector").alias("qvector"), "cell")
-
-    def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                cosine = np.einsum("ij,ij->i", _matrix(part["qvector"]), _matrix(part["vector"]))
-                yield pd.DataFrame({"query": part["qkey"], "key": part["key"], "cosine": np.clip(cosine, -1, 1)})
-
-    pairs = rows.join(asked, "cell").where("key <> qkey").select("qkey", "qvector", "key", "vector")
-    return _top(pairs.mapInPandas(score, "query bigint, key bigint, cosine double"), k)
+    schema = "key bigint, data binary, cell int"
+    placed = _usable(df, key, vector, dimension).mapInPandas(cells_of(1), schema)
+    # One row per cell; centres are few.
+    parts = {r.cell: max(1, -(-r["count"] // BLOCK)) for r in placed.groupBy("cell").count().collect()}
+    of = F.create_map(*[F.lit(x) for c in range(len(centres)) for x in (c, parts.get(c, 1))]) if len(centres) else F.lit(None)
+    packed = lambda rows, keys, data: rows.groupBy("cell", "part").agg(F.collect_list(F.struct("key", "data")).alias("v")).select("cell", "part", F.col("v.key").alias(keys), F.array_join(F.transform("v.data", lambda d: F.hex(d)), "").alias(data))
+    rows = packed(placed.withColumn("part", F.pmod(F.xxhash64("key"), of[F.col("cell")].cast("bigint"))), "keys", "data")
+    probing = _usable(queries, key, vector, dimension).mapInPandas(cells_of(probes), schema).withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(64)))
+    asked = probing.groupBy("cell", "turn").agg(F.collect_list(F.struct("key", "data")).alias("v")).select("cell", F.col("v.key").alias("qkeys"), F.array_join(F.transform("v.data", lambda d: F.hex(d)), "").alias("qdata"), F.explode(F.sequence(F.lit(0).cast("bigint"), of[F.col("cell")].cast("bigint") - 1)).alias("part"))
+    pairs = rows.join(asked, ["cell", "part"]).select("qkeys", F.unhex("qdata").alias("qdata"), "keys", F.unhex("data").alias("data"))
+    return _top(pairs.mapInPandas(_best(k, -1.0), "query bigint, key bigint, cosine double"), k)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical, ranking, scans, vectors
+from ..operators import gates, lexical, ranking, reports, scans, vectors
 from ..runtime import table
-from .reading import _FINDABLE, _GROUP_REASON, _OWNER, _PASSES, _SEEN, GROUP, NOW, TERMS, _at, _memories
+from .reading import _FINDABLE, _GROUP_REASON, _OWNER, _OWNER_WINDOW, _PASSES, _SEEN, GROUP, NOW, TERMS, _at, _memories
 
 DIMENSION = 64
 PHRASE = "spare violin"
@@ -26,9 +26,9 @@ def term_idf(spark, sf_dir):
 
 
 def bm25_postings(spark, sf_dir):
-    index = lexical.postings(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", F.col("text"))
-    totals = index.groupBy("key").agg(F.first("n_terms").alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
-    return lexical.bm25(index, ["lantern", "violin", "koffer", "guitarra"], totals.n, totals.mean or 1.0).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    index = lexical.postings(docs, "doc_id", F.col("text"))
+    return lexical.bm25(index, ["lantern", "violin", "koffer", "guitarra"], *lexical.corpus_totals(docs, F.col("text"))).select(F.col("key").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
 def rrf_fusion(spark, sf_dir):
@@ -43,7 +43,7 @@ def _routes(spark, sf_dir):
     m = _memories(spark, sf_dir)
     important = F.col("importance").desc_nulls_last()
     return [
-        ranking.ranked(scans.priority(m, 300), "priority", important, F.col("occurred_at").desc_nulls_last()),
+        ranking.ranked(scans.priority(m), "priority", important, F.col("occurred_at").desc_nulls_last()),
         ranking.ranked(scans.containing(m, TERMS), "keyword", F.col("session_id").isNull(), important),
         ranking.ranked(scans.time_window(m, *map(_at, WINDOW)), "time_window", important, scans.last_seen().desc_nulls_last()),
     ]
@@ -105,16 +105,57 @@ def recall_metrics(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     asked = rows.where("vec_id % 50 = 0")
     found = vectors.knn_exact(rows, asked, "vec_id", "embedding", DIMENSION)
-    cases = asked.select(F.col("vec_id").alias("query"), "label").join(rows.select(F.col("vec_id").alias("key"), "label"), "label").where("query <> key").select("query", "key")
-    return ranking.retrieval_metrics(cases, found, 10)
+    return ranking.label_metrics(asked.select(F.col("vec_id").alias("query"), "label"), rows.select(F.col("vec_id").alias("key"), "label"), found, 10)
 
 
 def p95_by_type(spark, sf_dir):
-    return table(spark, sf_dir, "events", "event_type", "value").groupBy("event_type").agg(ranking.p95(F.collect_list("value")).alias("p95"))
+    return reports.near_quantile(table(spark, sf_dir, "events", "event_type", "value"), "event_type", "value").withColumnRenamed("p", "p95")
+
+
+def _acl(spark, sf_dir):
+    """Rules that deny a fifth of the windows and allow another to the reading group, and a policy that opens a third one."""
+    owners = _memories(spark, sf_dir).select(gates.owner_window().alias("o")).where("o is not null").select("o.*").distinct()
+    number = F.pmod(F.conv(F.substring(F.sha1("id"), 1, 8), 16, 10).cast("bigint"), F.lit(5))
+    rules = owners.where(number < 2).select(F.col("scope").alias("owner_scope"), F.col("id").alias("owner_id"), F.lit("group").alias("reader_scope"), F.lit(GROUP.group_id).alias("reader_id"), F.when(number == 0, "deny").otherwise("allow").alias("effect"), F.lit(True).alias("enabled"))
+    policies = owners.where(number == 2).select(F.col("scope").alias("window_scope"), F.col("id").alias("window_id"), F.lit("blacklist").alias("read_mode"), F.lit("whitelist").alias("share_mode"))
+    return rules, policies
+
+
+def _near(spark, sf_dir):
+    """Memories stand for the vectors that their number falls on; what is near is near to the first vector."""
+    rows = _vectors(spark, sf_dir)
+    n = rows.count() or 1
+    found = vectors.knn_exact(rows, rows.where("vec_id = 0"), "vec_id", "embedding", DIMENSION, 200, ranking.LEAST_COSINE)
+    number = F.pmod(F.conv(F.substring("id", 13, 8), 16, 10).cast("bigint"), F.lit(n))
+    return _memories(spark, sf_dir).select("id", number.alias("key")).join(found.select("key", "cosine"), "key").select("id", "cosine")
+
+
+def _retrieved(spark, sf_dir, reranked=None):
+    return ranking.retrieve(_memories(spark, sf_dir), TERMS, PHRASE, GROUP, _at(NOW), *_acl(spark, sf_dir), ("group", GROUP.group_id), LIMITS, 20, *map(_at, WINDOW), _near(spark, sf_dir), reranked)
+
+
+def search_routes(spark, sf_dir):
+    pool = ranking.candidate_pool(_memories(spark, sf_dir), TERMS, GROUP, *map(_at, WINDOW), _near(spark, sf_dir))
+    return pool.select("id", F.concat_ws("+", "routes").alias("routes"), F.round("rrf", 8).alias("rrf"))
+
+
+def search_blocked(spark, sf_dir):
+    return _retrieved(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def search_by_slots(spark, sf_dir):
+    return _retrieved(spark, sf_dir)[0].select("id", "slot", "round", "place", F.round("score", 5).alias("score"))
+
+
+def search_reranked(spark, sf_dir):
+    """A reranker that prefers short texts."""
+    m = _memories(spark, sf_dir)
+    return _retrieved(spark, sf_dir, m.select("id", (1.0 / (1.0 + F.length(F.coalesce("content", F.lit(""))))).alias("relevance")))[0].select("id", "slot", "round", "place")
 
 
 def queries() -> dict:
     named = (
+        search_routes, search_blocked, search_by_slots, search_reranked,
         search_ranked, term_idf, bm25_postings, rrf_fusion, candidate_merge, rerank_convex, anchor_floor, mmr, slot_classify, slot_allocation, collapse_source, collapse_latest_fact, knn_cosine, knn_cells, recall_metrics, p95_by_type,
     )
     return {f.__name__: f for f in named}
@@ -143,6 +184,18 @@ def _routes_sql(n: int, window: bool) -> str:
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
+def _pool_sql() -> str:
+    """The six routes of a search."""
+    terms = ", ".join(f"'{t}'" for t in TERMS)
+    text = rf"""hw AS (SELECT id, regexp_extract_all({_HAYSTACK}, '[\p{{L}}\p{{N}}_]+') AS words FROM memories WHERE {_FINDABLE}), hd AS (SELECT * FROM hw WHERE len(words) > 0), hs AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM hd),
+ht AS (SELECT id, n_terms, term, count(*) AS tf FROM (SELECT id, len(words) AS n_terms, unnest(words) AS term FROM hd) WHERE term IN ({terms}) GROUP BY ALL), hf AS (SELECT term, count(*) AS df FROM ht GROUP BY term),
+hb AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 9) AS score FROM ht JOIN hf USING (term), hs GROUP BY id),
+vq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), vs AS (SELECT vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS cosine FROM embeddings, vq WHERE vec_id <> 0 AND len(embedding) = 64), vk AS (SELECT * FROM vs WHERE cosine >= 0.34 QUALIFY row_number() OVER (ORDER BY cosine DESC, vec_id) <= 200),
+vm AS (SELECT id, cosine FROM memories JOIN vk ON vec_id = ('0x' || substr(id, 13, 8))::BIGINT % (SELECT count(*) FROM embeddings) WHERE {_FINDABLE})"""
+    more = "(SELECT id, 'fts', row_number() OVER (ORDER BY score DESC, id) AS rank FROM hb QUALIFY rank <= 240) UNION ALL (SELECT id, 'vector', row_number() OVER (ORDER BY cosine DESC, id) AS rank FROM vm QUALIFY rank <= 240)"
+    return f"{text}, routes AS ({_routes_sql(2000, True)} UNION ALL {more})"
+
+
 _KNN = """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 50 = 0 AND len(embedding) = 64), s AS (
   SELECT q.vec_id AS query, e.vec_id AS key, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cosine FROM q JOIN embeddings e ON q.vec_id <> e.vec_id AND len(e.embedding) = 64
 ), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cosine, 9) DESC, key) AS rank FROM s QUALIFY rank <= 10)"""
@@ -166,12 +219,19 @@ y AS (SELECT *, CASE WHEN exact THEN 0.42 ELSE 0.24 END + least(0.72, 0.18 * bm2
   CASE WHEN durability = 'pinned' THEN 1.0 ELSE greatest(0.05, least(1.0, pow(2.0, -coalesce(age, 0) / CASE durability WHEN 'ephemeral' THEN 1.0 WHEN 'short' THEN 14.0 WHEN 'durable' THEN 730.0 ELSE 120.0 END))) END AS decay
   FROM x WHERE (hits > 0 OR exact) AND lower(coalesce(validity_status, 'active')) = 'active' AND coalesce('{NOW}'::TIMESTAMPTZ >= valid_from, true) AND coalesce('{NOW}'::TIMESTAMPTZ < valid_to, true) AND coalesce(sensitivity, '') <> 'restricted' AND coalesce(owner_bot_id, '') IN ('', 'bot_1'))
 SELECT id, hits, round(bm25, 6) AS bm25, round(rrf, 6) AS rrf, round(base * (0.65 + 0.35 * decay) + 0.12 * coalesce(salience, importance, 0) + least(0.12, 0.12 * coalesce(reinforcement_score, 0)), 5) AS score FROM y""",
+        "search_routes": f"WITH {_pool_sql()} SELECT id, array_to_string(list_sort(list(DISTINCT route)), '+') AS routes, round(sum(1.0 / (60.0 + rank)), 8) AS rrf FROM routes GROUP BY id",
+        "search_blocked": f"""WITH {_pool_sql()}, c AS (SELECT DISTINCT id FROM routes), seen AS (SELECT m.*, {_OWNER} AS o, {_OWNER_WINDOW} FROM memories m), r AS (SELECT s.*, {_GROUP_REASON} AS reason FROM seen s SEMI JOIN c USING (id)),
+w AS (SELECT DISTINCT os, oi, ('0x' || left(sha1(oi), 8))::BIGINT % 5 AS n FROM seen WHERE os IS NOT NULL), a AS (SELECT r.*, CASE WHEN n = 0 THEN 'deny' WHEN n = 1 THEN 'allow' WHEN r.os = 'group' AND n <> 2 THEN 'open' ELSE 'closed' END AS acl FROM r LEFT JOIN w ON r.os = w.os AND r.oi = w.oi),
+b AS (SELECT CASE WHEN acl = 'deny' THEN 'acl_deny' WHEN reason NOT IN {_PASSES} AND NOT (reason IN ('other_group_public', 'private_pair_not_current_private', 'other_private_pair') AND acl IN ('allow', 'open')) THEN reason
+  WHEN lower(coalesce(validity_status, 'active')) <> 'active' THEN 'validity=' || lower(validity_status) WHEN '{NOW}'::TIMESTAMPTZ < valid_from THEN 'validity=not_started' WHEN '{NOW}'::TIMESTAMPTZ >= valid_to THEN 'validity=expired'
+  WHEN sensitivity = 'restricted' THEN 'sensitivity=restricted' WHEN owner_bot_id <> '' AND owner_bot_id <> 'bot_1' THEN 'owner_bot_mismatch' END AS blocked FROM a)
+SELECT blocked AS reason, count(*) AS n FROM b WHERE blocked IS NOT NULL GROUP BY 1""",
         "term_idf": f"""WITH t AS (SELECT * FROM (VALUES {terms}) v(term)) SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM memories) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t JOIN memories ON contains({_HAYSTACK}, term) GROUP BY term""",
         "bm25_postings": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents), d AS (SELECT * FROM w WHERE len(words) > 0), s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d),
 p AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM d), tf AS (SELECT doc_id, n_terms, term, count(*) AS tf FROM p WHERE term IN ('lantern', 'violin', 'koffer', 'guitarra') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 5) AS score FROM tf JOIN f USING (term), s GROUP BY doc_id""",
-        "rrf_fusion": f"WITH r AS ({_routes_sql(300, False)}) SELECT id, round(sum(1.0 / (60.0 + rank)), 8) AS rrf FROM r GROUP BY id",
-        "candidate_merge": f"WITH r AS ({_routes_sql(300, False)}) SELECT id, array_to_string(list_sort(list(DISTINCT route)), '+') AS routes, CASE WHEN bool_or(route = 'keyword') AND bool_or(route = 'time_window') THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM r GROUP BY id",
+        "rrf_fusion": f"WITH r AS ({_routes_sql(2000, False)}) SELECT id, round(sum(1.0 / (60.0 + rank)), 8) AS rrf FROM r GROUP BY id",
+        "candidate_merge": f"WITH r AS ({_routes_sql(2000, False)}) SELECT id, array_to_string(list_sort(list(DISTINCT route)), '+') AS routes, CASE WHEN bool_or(route = 'keyword') AND bool_or(route = 'time_window') THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM r GROUP BY id",
         "rerank_convex": """WITH w AS (SELECT id, importance, confidence, min(importance) OVER p AS a, max(importance) OVER p AS b, min(confidence) OVER p AS c, max(confidence) OVER p AS d FROM memories WINDOW p AS (PARTITION BY memory_type))
 SELECT id, round(0.5 * CASE WHEN b > a THEN (importance - a) / (b - a) ELSE 0.5 END + 0.5 * CASE WHEN d > c THEN (confidence - c) / (d - c) ELSE 1.0 END, 6) AS combined FROM w""",
         "anchor_floor": f"""WITH p AS (SELECT id, importance AS combined, memory_type = 'preference' AS anchor FROM memories WHERE {_FINDABLE} ORDER BY importance DESC NULLS LAST, occurred_at DESC NULLS LAST, id LIMIT 32),

@@ -27,7 +27,7 @@ def test_text_functions(spark):
     assert one(spark, X.clamp(F.lit("7"))) == 1.0 and one(spark, X.clamp(F.lit("x"), default=0.3)) == 0.3
     assert one(spark, X.query_terms(F.lit("Ab c 相机镜头 ok ok"))) == ["ab", "相机", "机镜", "镜头", "相机镜头", "ok"]
     assert one(spark, X.count_of(F.lit("aaaa"), F.lit("aa"))) == 2
-    assert one(spark, X.redact_secrets(F.lit("https://a:b@h password: x1 Bearer abcdefghij"))) == "https://[redacted]@h password: [redacted] Bearer [redacted]"
+    assert one(spark, X.redact_secrets(F.lit("https://a:b@h password: x1 Bearer abcdefghij"))) == "https://a:[REDACTED]@h password: [REDACTED] Bearer [REDACTED]"
 
 
 def test_fusion_ignores_route_order_and_counts_first_places(spark):
