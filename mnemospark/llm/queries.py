@@ -30,17 +30,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "memories", "id", "content"), "id", "content", *NOTE_SIMILARITY)
 
 
-def _talks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return talks.rebuild(table(spark, sf_dir, "timeline", *TIMELINE))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _talks(spark, sf_dir)[0].where("usable and session_id is not null")
+    """By its statement only rows with a session count."""
+    rows = table(spark, sf_dir, "timeline", *TIMELINE).where("session_id is not null")
+    found = talks.rebuild(rows)[0].where("usable")
     return found.select("session_id", F.floor(F.col("start_us") / 1000).alias("start_ms"), F.floor(F.col("end_us") / 1000).alias("end_ms"))
 
 
 def p2_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations, turns = _talks(spark, sf_dir)
+    conversations, turns = talks.rebuild(table(spark, sf_dir, "timeline", *TIMELINE))
     usable = conversations.where("usable").select("conversation", "session_id", "start_us")
     return turns.join(usable, "conversation").select("session_id", F.floor(F.col("start_us") / 1000).alias("start_ms"), "id", "role", "block", "turn")
 
@@ -131,4 +129,30 @@ WITH m AS (
   FROM s GROUP BY session_id, n
 )
 SELECT session_id, start_ms, end_ms FROM c WHERE asked AND tail = 'bot_response' AND head <> 'bot_response'""",
+        "p2_turns": r"""
+WITH RECURSIVE m AS (
+  SELECT *, epoch_us(occurred_at) AS us, epoch_us(occurred_at) // 7200000000 AS block FROM timeline
+  WHERE event_type IN ('user_message', 'bot_response', 'proactive_message') AND regexp_matches(content, '[^\s\p{Z}\p{Cc}\p{Cf}]') AND occurred_at IS NOT NULL
+), f AS (
+  SELECT *, CASE WHEN session_id IS NOT NULL AND us - lag(us) OVER w <= 7200000000 THEN 0 ELSE 1 END AS new
+  FROM m WINDOW w AS (PARTITION BY session_id ORDER BY us, source_sequence NULLS LAST, created_at, id)
+), s AS (
+  SELECT *, CASE WHEN session_id IS NULL THEN 'row ' || id ELSE session_id || ' ' || sum(new) OVER (PARTITION BY session_id ORDER BY us, source_sequence NULLS LAST, created_at, id ROWS UNBOUNDED PRECEDING) END AS node FROM f
+), w AS (
+  SELECT node, session_id, us, lag(node) OVER q AS was, lag(us) OVER q AS was_us, lag(session_id) OVER q AS was_session FROM s
+  WHERE message_id IN (SELECT message_id FROM m WHERE session_id IS NULL) WINDOW q AS (PARTITION BY message_id ORDER BY us, source_sequence NULLS LAST, created_at, id)
+), l AS (
+  SELECT was AS x, node AS y FROM w WHERE us - was_us <= 7200000000 AND (session_id IS NULL OR was_session IS NULL)
+), b AS (SELECT x, y FROM l UNION SELECT y, x FROM l), r AS (
+  SELECT DISTINCT node AS x, node AS y FROM s UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y
+), c AS (SELECT x AS node, min(y) AS conversation FROM r GROUP BY x), t AS (
+  SELECT s.*, conversation FROM s JOIN c USING (node)
+), g AS (
+  SELECT conversation, max(session_id) AS session, min(us) // 1000 AS start_ms, bool_or(event_type = 'user_message') AS asked,
+         first(event_type ORDER BY us, source_sequence NULLS LAST, created_at, id) AS head, last(event_type ORDER BY us, source_sequence NULLS LAST, created_at, id) AS tail
+  FROM t GROUP BY conversation
+)
+SELECT g.session AS session_id, start_ms, t.id, CASE WHEN event_type = 'user_message' THEN 'user' ELSE 'bot' END AS role, block,
+       row_number() OVER (PARTITION BY conversation, block ORDER BY us, source_sequence NULLS LAST, created_at, id)::INT AS turn
+FROM t JOIN g USING (conversation) WHERE asked AND tail = 'bot_response' AND head <> 'bot_response'""",
     }
