@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Documents from which the classifier learns at most, chosen by hash.
 TRAIN_DOCS = 3000
-#: Strength with which the weights are held to PRIOR.
-PRIOR_PRECISION = 2.0
+#: Strength with which the weights are held to PRIOR, and the weight of all lessons together at most; both are needed, as the reliable places never show some features, such as small words after a closing quotation mark.
+PRIOR_PRECISION, EVIDENCE = 2.0, 400.0
 
 # Pairs of brackets and quotation marks.
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“”", "‹": "›", "‘": "’", "‚": "‘’"}
@@ -40,9 +41,11 @@ CLOSERS = frozenset(")]}\"'”’“»›」』）］】〕》〉")
 _BLANK = re.compile(r"(?:[^\S\r\n]*(?:\r\n|\n|\r)){2,}")
 _MARKS = re.compile("[" + re.escape("".join(PAIRS) + "".join(PAIRS.values()) + '"') + "]")
 _CANDIDATE = re.compile(rf"[{re.escape(ENDS)}](?:[{re.escape(ENDS)}]|(?<=\.) (?=\.))*")
-_LEFT = re.compile(r"[^\s()\[\]{}\"“”„«»「」『』（）,;:!?¿¡。！？、，：；]+$")
+#: Characters that a word before a mark does not have.
+_APART = frozenset("()[]{}\"“”„«»「」『』（）,;:!?¿¡。！？、，：；")
 _SPACE = re.compile(r"\s*")
 _MEASURED = re.compile(r"\d\s[^\W\d_]+$")
+_THAI = re.compile("[฀-๿]")
 _THAI_SPACE = re.compile(r"(?<=\S)\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _DOTS = frozenset(".…．")
@@ -53,7 +56,7 @@ PRIOR = {
     "strong": 4.0, "dot": 1.5, "ellipsis": 0.5, "closed": 0.0,
     "next upper": 1.0, "next lower": -6.0, "next digit": -0.5, "next caseless": 1.0, "next opens": 1.0, "next other": -2.0, "next joins": -9.0,
     "glued": -9.0, "glued start": 6.0,
-    "leads": -7.0, "refers to digit": -6.0, "either": 0.5, "initial": -6.0, "unit": 1.5, "short": -0.3, "dotted": -1.0, "number": -0.2, "german number": -5.0, "long": 0.3,
+    "leads": -7.0, "refers to digit": -6.0, "refers": -1.0, "either": 0.5, "initial": -6.0, "unit": 1.5, "short": -0.3, "dotted": -1.0, "number": -0.2, "german number": -5.0, "long": 0.3,
     "ellipsis before upper": 1.5, "ellipsis before caseless": 1.5, "ellipsis after one word": -6.0, "closed before caseless": -9.0, "strong before lower": -1.0,
 }
 NAMES = list(PRIOR)
@@ -109,7 +112,12 @@ def is_german(text: str) -> bool:
     return here > 0 and here > sum(w in OTHER for w in words)
 
 
-def features(text: str, begin: int, place: tuple[int, int, int], end: int, german: bool) -> list[str]:
+def _told_once(text: str, start: int, end: int) -> Callable[[], bool]:
+    """Whether a block is German, found out when it is first asked for."""
+    return functools.cache(lambda: is_german(text[start:end]))
+
+
+def features(text: str, begin: int, place: tuple[int, int, int], end: int, german: Callable[[], bool]) -> list[str]:
     """Features of a candidate (start of its marks, their end, end of the closing marks) of a sentence from ``begin`` in a block that ends at ``end``."""
     at, marked, past = place
     marks, closed = text[at:marked], past > marked
@@ -127,18 +135,21 @@ def features(text: str, begin: int, place: tuple[int, int, int], end: int, germa
         nxt = "upper" if c.isupper() or c.istitle() else "lower" if c.islower() else "caseless"
     elif c and c in "¿¡\"'“‘„«‹「『（([《【—–-#*•" and spaced:
         nxt = "opens"
-    elif c and c in "¿¡“„「『《":
+    elif c and c in "¿¡“„「『《«\"(（【":
+        # A closing mark would have been taken with the candidate, so one that adjoins it opens.
         nxt = "opens"
     elif c and c in ",;:、，；：%@/\\_=+&-–)]}»”’":
         nxt = "joins"
     else:
         nxt = "other"
     found.append(f"next {nxt}")
-    left = _LEFT.search(text, max(begin, at - 32), at)
-    word = left.group() if left else ""
+    left, least = at, max(begin, at - 32)
+    while left > least and text[left - 1] not in _APART and not text[left - 1].isspace():
+        left -= 1
+    word = text[left:at]
     if not spaced and nxt in ("upper", "lower", "digit") and not (strong and nxt == "upper") and not closed and not _is_caseless(text[at - 1 : at]):
         found.append("glued")
-        if nxt == "upper" and text[after + 1 : after + 2].islower() and len(word) > 1 and word.isalpha() and word[-1].islower():
+        if nxt == "upper" and text[after + 1 : after + 2].islower() and (word.isdigit() or len(word) > 1 and word.isalpha() and word[-1].islower()):
             found.append("glued start")
     if ellipsis:
         if nxt in ("upper", "opens"):
@@ -159,8 +170,8 @@ def features(text: str, begin: int, place: tuple[int, int, int], end: int, germa
     low = word.lower()
     if low in _LEAD:
         found.append("leads")
-    elif low in _REFER and nxt == "digit":
-        found.append("refers to digit")
+    elif low in _REFER:
+        found.append("refers to digit" if nxt == "digit" else "refers")
     elif low in _EITHER:
         found.append("either")
     elif word.islower() and len(word) <= 3 and _MEASURED.search(text, max(begin, at - 12), at):
@@ -169,7 +180,7 @@ def features(text: str, begin: int, place: tuple[int, int, int], end: int, germa
         found.append("initial")
     elif word and all(x.isdigit() or x == "." for x in word):
         found.append("number")
-        if german and nxt in ("upper", "lower"):
+        if nxt in ("upper", "lower") and german():
             found.append("german number")
     else:
         if "." in word:
@@ -217,17 +228,15 @@ def split(text: str, weights: np.ndarray) -> list[tuple[int, int]]:
     weight = dict(zip(NAMES, weights.tolist(), strict=True))
     out = []
     for start, end in blocks(text):
-        german = None
+        german = _told_once(text, start, end)
         cuts: list[int] = []
-        thai = _thai_ends(text, start, end) if any("฀" <= c <= "๿" for c in text[start : min(end, start + 400)]) or re.search("[฀-๿]", text[start:end]) else set()
+        thai = _thai_ends(text, start, end) if _THAI.search(text, start, end) else set()
         marks = [(m[2], m) for m in _candidates(text, start, end)] + [(p, None) for p in thai]
         begin = start
         for at, m in sorted(marks, key=lambda x: (x[0], x[1] is None)):
             if at < begin:
                 continue
             if m is not None and at < end:
-                if german is None:
-                    german = is_german(text[start:end])
                 if sum(weight[f] for f in features(text, begin, m, end, german)) <= 0:
                     continue
             cuts.append(at)
@@ -253,7 +262,7 @@ def lessons(text: str) -> Iterator[tuple[tuple[str, ...], bool]]:
     """
     spans = list(blocks(text))
     for i, (start, end) in enumerate(spans):
-        german = is_german(text[start:end])
+        german = _told_once(text, start, end)
         for at, marked, past in _candidates(text, start, end):
             if _SPACE.match(text, past, end).end() == end:
                 follow = text[spans[i + 1][0] : spans[i + 1][1]].lstrip()[:2] if i + 1 < len(spans) and past == marked else ""
@@ -264,12 +273,12 @@ def lessons(text: str) -> Iterator[tuple[tuple[str, ...], bool]]:
             found = features(text, start, (at, marked, past), end, german)
             if "next lower" in found or "next joins" in found or "refers to digit" in found:
                 yield tuple(found), False
-                if "next lower" in found and "dot" in found and "glued" not in found and "either" not in found:
+                if "next lower" in found and "dot" in found and not {"glued", "either", "closed"} & set(found):
                     yield tuple("next upper" if f == "next lower" else f for f in found), False
 
 
-def fit(counts: list[tuple[tuple[str, ...], bool, int]], precision: float = PRIOR_PRECISION) -> np.ndarray:
-    """Maximum-entropy weights of counted lessons, held to PRIOR by a Gaussian; without lessons they are PRIOR."""
+def fit(counts: list[tuple[tuple[str, ...], bool, int]], precision: float = PRIOR_PRECISION, evidence: float = EVIDENCE) -> np.ndarray:
+    """Maximum-entropy weights of counted lessons, which weigh ``evidence`` together at most, held to PRIOR by a Gaussian; without lessons they are PRIOR."""
     weights = PRIOR_WEIGHTS.copy()
     if not counts:
         return weights
@@ -278,7 +287,7 @@ def fit(counts: list[tuple[tuple[str, ...], bool, int]], precision: float = PRIO
         x[i, [INDEX[n] for n in names]] = 1
     y = np.array([float(b) for _, b, _ in counts])
     n = np.array([float(k) for _, _, k in counts])
-    n *= min(1.0, 400.0 / n.sum())
+    n *= min(1.0, evidence / n.sum())
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (n * (y - p)) - precision * (weights - PRIOR_WEIGHTS)
