@@ -60,16 +60,39 @@ def _translate(expression: str, table: dict[str, str]) -> str:
     return f"translate({expression}, {quote(''.join(table))}, {quote(''.join(table.values()))})"
 
 
-def canonical_sql(column: str) -> str:
-    """The DuckDB expression of the one form of ``column``."""
+def _class(characters) -> str:
+    """A class of DuckDB's regular expressions that holds some characters, by ranges."""
+    codes, spans = sorted(map(ord, characters)), []
+    for c in codes:
+        if spans and c == spans[-1][1] + 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def _where(test: str, changed: str, same: str) -> str:
+    return f"CASE WHEN regexp_matches({same}, '{test}') THEN {changed} ELSE {same} END"
+
+
+def canonical_steps(column: str) -> list[str]:
+    """The DuckDB expressions that lead to the one form of ``column`` one after another, each over the last one's result, named ``column`` too.
+
+    Each begins with one test whether the text has anything that it changes, so
+    plain texts, which are most, pass through untouched.
+    """
     bare, accented = _lookalike_tables()
-    e = _translate(column, _width_table())
+    joined = column
     for ligature, letters in LIGATURES.items():
-        e = f"replace({e}, '{ligature}', '{letters}')"
-    e = f"regexp_replace({e}, '{INVISIBLE}', '', 'g')"
-    e = f"regexp_replace({e}, '{SPACES}', ' ', 'g')"
-    e = f"nfc_normalize({_translate(f'nfc_normalize({e})', bare)})"
-    return _translate(e, accented)
+        joined = f"replace({joined}, '{ligature}', '{letters}')"
+    width = _width_table()
+    spaces = f"regexp_replace(regexp_replace({column}, '{INVISIBLE}', '', 'g'), '{SPACES}', ' ', 'g')"
+    # Only below U+0300 is every text its own composed form.
+    composed = _where(r"[^\x{0000}-\x{02FF}\x{4E00}-\x{9FFF}]", f"nfc_normalize({column})", column)
+    return [
+        _where(_class(width), _translate(column, width), column), _where(_class(LIGATURES), joined, column), _where(f"{INVISIBLE}|{SPACES}", spaces, column), composed,
+        _where(_class(bare), f"nfc_normalize({_translate(column, bare)})", column), _where(_class(accented), _translate(column, accented), column),
+    ]
 
 
 def canonicalise(df: DataFrame, columns: list[str], suffix: str = "_canonical") -> DataFrame:
@@ -85,7 +108,9 @@ def canonicalise(df: DataFrame, columns: list[str], suffix: str = "_canonical")
     made = [f"{c}{suffix}" for c in columns]
     base = df.drop(*made)
     schema = T.StructType([*base.schema.fields, *[T.StructField(m, T.StringType()) for m in made]])
-    chosen = ", ".join(f'{canonical_sql(f"c{i}")} AS m{i}' for i in range(len(columns)))
+    query = "SELECT t FROM texts"
+    for step in canonical_steps("t"):
+        query = f"SELECT {step} AS t FROM ({query})"
     places = [base.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +118,15 @@ def canonicalise(df: DataFrame, columns: list[str], suffix: str = "_canonical")
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
         for batch in batches:
-            texts = pa.table({f"c{i}": batch.column(p).cast(pa.string()) for i, p in enumerate(places)} | {"n": pa.array(range(batch.num_rows), pa.int64())})
-            con.register("texts", texts)
-            out = con.sql(f"SELECT {chosen} FROM texts ORDER BY n").to_arrow_table().combine_chunks()
-            con.unregister("texts")
-            new = [out.column(i).combine_chunks() if out.num_rows else pa.array([], pa.string()) for i in range(len(made))]
-            new = [(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).cast(pa.string()) for x in new]
+            new = []
+            for p in places:
+                # Each different text once; a single thread keeps the order of the rows.
+                coded = batch.column(p).cast(pa.string()).dictionary_encode()
+                con.register("texts", pa.table({"t": coded.dictionary}))
+                forms = con.sql(query).to_arrow_table().column(0).cast(pa.string()).combine_chunks() if len(coded.dictionary) else pa.array([], pa.string())
+                con.unregister("texts")
+                forms = pa.concat_arrays(forms.chunks) if isinstance(forms, pa.ChunkedArray) else forms
+                new.append(forms.take(coded.indices))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
 
     return base.mapInArrow(run, schema)
