@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 #: The longest segment, in code points.
 MAX_LENGTH = 96
 #: Labelled texts that are made for training, rounds over them, and the variance of the Gaussian prior.
 TRAIN_TEXTS, ROUNDS, VARIANCE, SEED = 900, 25, 4.0, 11
-#: Full names of the identities table that are read at most; beyond it names are told by context alone.
+#: Full names that the tasks are sent as a whole at most; of more, each text gets those parts that occur in it, by a join.
 GAZETTEER_LIMIT = 50_000
 
 # Words that announce a kind before or after a segment.
@@ -73,21 +76,26 @@ Features = list[str]
 Segment = tuple[int, int, str, Features]
 
 
+def name_parts(name: str) -> list[str]:
+    """What a full display name adds to the gazetteer, each part behind its kind: w(ord), n(ame), h(ead) and t(ail); nothing for handles."""
+    if re.fullmatch(rf"{_WORD} {_WORD}", name):
+        return [f"w{w.lower()}" for w in name.split()]
+    if re.fullmatch(r"[一-鿿]{3}", name):
+        return [f"n{name}", f"h{name[0]}", f"t{name[1:]}"]
+    return []
+
+
 class Gazetteer:
     """Given and family names that full display names consist of."""
 
-    def __init__(self, names: list[str]):
-        self.words: set[str] = set()
-        self.han: set[str] = set()
-        heads, tails = set(), set()
-        for name in names:
-            if re.fullmatch(rf"{_WORD} {_WORD}", name):
-                self.words.update(w.lower() for w in name.split())
-            elif re.fullmatch(r"[一-鿿]{3}", name):
-                self.han.add(name)
-                heads.add(name[0])
-                tails.add(name[1:])
-        self.pattern = re.compile(rf"[{''.join(sorted(heads))}](?:{'|'.join(sorted(tails))})") if heads else None
+    def __init__(self, names: Iterable[str], parts: Iterable[str] = ()):
+        """Of full names, and of parts as :func:`name_parts` gives them."""
+        kinds: dict[str, set[str]] = {"w": set(), "n": set(), "h": set(), "t": set()}
+        for part in itertools.chain(parts, *map(name_parts, names)):
+            kinds[part[0]].add(part[1:])
+        self.words, self.han = kinds["w"], kinds["n"]
+        some = kinds["h"] and kinds["t"]
+        self.pattern = re.compile(rf"[{''.join(sorted(kinds['h']))}](?:{'|'.join(sorted(kinds['t']))})") if some else None
 
     def known(self, name: str) -> int:
         return sum(p.lower() in self.words for w in re.split(r"[ ,]+", name) for p in [w.split("-")[0]])
@@ -323,12 +331,49 @@ def segments(text: str, gazetteer: Gazetteer, weights: dict[str, float]) -> list
     return decode(candidates(text, gazetteer)[1], weights)
 
 
-def gazetteer_of(identities: DataFrame | None, column: str = "display_name") -> Gazetteer:
-    """The gazetteer of a bounded identities table; larger ones, and null, give an empty one."""
+def _text_parts(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function (n, text) -> (n, part): everything in a text that may be a part of a known name."""
+    for batch in texts:
+        rows, parts = [], []
+        for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            plain = (t or "").translate(_WIDE)
+            found = {f"w{p.split('-')[0].lower()}" for m in _NAME.finditer(plain) for p in re.split(r"[ ,]+", m.group())}
+            for m in re.finditer(r"[一-鿿]+", plain):
+                run = m.group()
+                found |= {f"h{c}" for c in run} | {f"t{run[i:i + 2]}" for i in range(len(run) - 1)} | {f"n{run[i:i + 3]}" for i in range(len(run) - 2)}
+            rows += [n] * len(found)
+            parts += sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(parts, pa.string())], names=["n", "part"])
+
+
+def _listed_parts(names: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in names:
+        yield pa.RecordBatch.from_arrays([pa.array([p for n in batch.column(0).to_pylist() for p in name_parts(n)], pa.string())], names=["part"])
+
+
+def with_gazetteer(df: DataFrame, text: str, identities: DataFrame | None, column: str = "display_name", limit: int | None = None) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[Gazetteer]]]:
+    """``df``, and what gives the gazetteer of each row of one of its batches.
+
+    Up to ``limit`` distinct names are sent to the tasks as they are, and ``df``
+    stays as it is. Of more, the parts that occur in a text are found by an
+    equi-join with the parts of all names and stand in a further column
+    ``__known``, the last; what is found in the texts is the same.
+    """
+    limit = GAZETTEER_LIMIT if limit is None else limit
     if identities is None:
-        return Gazetteer([])
-    names = identities.select(F.col(column).alias("n")).where(F.col("n").isNotNull()).distinct().limit(GAZETTEER_LIMIT + 1).collect()
-    return Gazetteer([r.n for r in names] if len(names) <= GAZETTEER_LIMIT else [])
+        empty = Gazetteer([])
+        return df, lambda batch: itertools.repeat(empty, batch.num_rows)
+    names = identities.select(F.col(column).alias("n")).where(F.col("n").isNotNull()).distinct()
+    few = names.limit(limit + 1).collect()
+    if len(few) <= limit:
+        whole = Gazetteer(r.n for r in few)
+        return df, lambda batch: itertools.repeat(whole, batch.num_rows)
+    numbered = cut(df.withColumn("__n", F.monotonically_increasing_id()))
+    parts = names.mapInArrow(_listed_parts, "part string").distinct()
+    met = numbered.select(F.col("__n").alias("n"), F.col(text).alias("text")).mapInArrow(_text_parts, "n bigint, part string").join(parts, "part", "left_semi")
+    known = met.groupBy(F.col("n").alias("__n")).agg(F.collect_set("part").alias("__known"))
+    joined = numbered.join(known, "__n", "left").drop("__n")
+    return joined, lambda batch: (Gazetteer([], k or []) for k in batch.column("__known").to_pylist())
 
 
 def personal_segments(df: DataFrame, row_id: str, text: str, identities: DataFrame | None = None) -> DataFrame:
@@ -345,14 +390,14 @@ def personal_segments(df: DataFrame, row_id: str, text: str, identities: DataFra
     before it and the names that full display names consist of, and dynamic
     programming chooses boundaries and kinds together.
     """
-    weights, gazetteer = trained_weights(), gazetteer_of(identities)
-    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    weights = trained_weights()
+    base, gazetteers = with_gazetteer(df.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0), "text", identities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(i, kind, a, b, t[a:b]) for a, b, kind, _ in segments(t, gazetteer, weights)]
+            for i, t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gazetteers(batch), strict=True):
+                out += [(i, kind, a, b, t[a:b]) for a, b, kind, _ in segments(t, g, weights)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "kind", "start_char", "end_char", "value"])
@@ -362,14 +407,14 @@ def personal_segments(df: DataFrame, row_id: str, text: str, identities: DataFra
 
 def personal_kinds(df: DataFrame, row_id: str, text: str, identities: DataFrame | None = None) -> DataFrame:
     """(id, kind), one row per row and kind that occurs in it; see :func:`personal_segments`. Nothing is shuffled."""
-    weights, gazetteer = trained_weights(), gazetteer_of(identities)
-    base = df.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    weights = trained_weights()
+    base, gazetteers = with_gazetteer(df.select(F.col(row_id).cast("string").alias("id"), F.col(text).alias("text")).where(F.length("text") > 0), "text", identities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kinds = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                here = sorted({s[2] for s in segments(t, gazetteer, weights)})
+            for i, t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gazetteers(batch), strict=True):
+                here = sorted({s[2] for s in segments(t, g, weights)})
                 ids += [i] * len(here)
                 kinds += here
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string())], names=["id", "kind"])
@@ -379,10 +424,11 @@ def personal_kinds(df: DataFrame, row_id: str, text: str, identities: DataFrame
 
 def redact(df: DataFrame, text: str, identities: DataFrame | None = None) -> DataFrame:
     """``df`` with each piece of personal information in ``text`` replaced by its kind's placeholder; null stays null."""
-    weights, gazetteer = trained_weights(), gazetteer_of(identities)
-    place = df.columns.index(text)
+    weights = trained_weights()
+    base, gazetteers = with_gazetteer(df, text, identities)
+    place, width = df.columns.index(text), len(df.columns)
 
-    def clean(t: str | None) -> str | None:
+    def clean(t: str | None, gazetteer: Gazetteer) -> str | None:
         if not t:
             return t
         out, at = [], 0
@@ -393,6 +439,7 @@ def redact(df: DataFrame, text: str, identities: DataFrame | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(place, batch.schema.names[place], pa.array([clean(t) for t in batch.column(place).to_pylist()], pa.string()))
+            texts = pa.array([clean(t, g) for t, g in zip(batch.column(place).to_pylist(), gazetteers(batch), strict=True)], pa.string())
+            yield batch.set_column(place, batch.schema.names[place], texts).select(range(width))
 
-    return df.mapInArrow(run, df.schema)
+    return base.mapInArrow(run, df.schema)
