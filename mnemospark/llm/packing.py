@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, small
 
 #: Containers that one differencing run fills; the last of a run holds the slack, so waste is about one part in this many.
 WINDOWS = 96
 #: Room that a container may leave and still be kept while others overflow.
 SLACK = 0.02
 SPEC_LIMIT = 1000
+#: Items of a run at most on average; many small ones would need much memory for their partial partitions.
+RUN_ITEMS = 20_000
 SCHEMA = "spec_id int, container string, doc_id bigint, piece int, token_start bigint, token_end bigint, n_tokens bigint"
 
 
@@ -110,9 +112,9 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n
     container null. Specs with a null or non-positive capacity are left out;
     empty tables give no rows.
 
-    Items are spread by hash over runs of about ``windows`` containers, whose
-    number follows from the total, so a run's work does not grow with the
-    data.
+    Items are spread by hash over runs of about ``windows`` containers, and of
+    ``RUN_ITEMS`` items at most on average, whose number follows from the
+    totals, so a run's work does not grow with the data.
     """
     chosen = [r for r in specs.select("spec_id", "capacity_tokens").limit(SPEC_LIMIT + 1).collect() if r.capacity_tokens and r.capacity_tokens > 0]
     if len(chosen) > SPEC_LIMIT:
@@ -121,8 +123,8 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n
     if not chosen:
         return spark.createDataFrame([], SCHEMA)
     base = cut(sizes.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(n_tokens), F.lit(0)).cast("bigint").alias("size")))
-    rests = base.agg(*[F.coalesce(F.sum(F.col("size") % r.capacity_tokens), F.lit(0)).alias(f"r{i}") for i, r in enumerate(chosen)]).first()
-    plans = [F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity"), F.lit(max(1, round(rests[i] / (windows * r.capacity_tokens)))).cast("bigint").alias("runs")) for i, r in enumerate(chosen)]
+    rests = base.agg(*[x for i, r in enumerate(chosen) for x in (F.coalesce(F.sum(F.col("size") % r.capacity_tokens), F.lit(0)).alias(f"r{i}"), F.count_if(F.col("size") % r.capacity_tokens > 0).alias(f"n{i}"))]).first()
+    plans = [F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity"), F.lit(max(1, round(rests[f"r{i}"] / (windows * r.capacity_tokens)), -(-rests[f"n{i}"] // RUN_ITEMS))).cast("bigint").alias("runs")) for i, r in enumerate(chosen)]
     items = base.select("doc_id", "size", F.explode(F.array(*plans)).alias("s")).select("doc_id", "size", "s.*").withColumn("full", F.floor(F.col("size") / F.col("capacity")))
     cuts = items.where("full > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("p"))
     whole = cuts.select(
@@ -147,4 +149,4 @@ def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, the tokens in them and the share of their capacity that is filled."""
     loads = packed.where("container is not null").groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("load"))
     per = loads.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("largest"))
-    return per.join(F.broadcast(specs.select("spec_id", "capacity_tokens").limit(SPEC_LIMIT)), "spec_id").withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    return per.join(small(specs.select("spec_id", "capacity_tokens"), SPEC_LIMIT), "spec_id").withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
