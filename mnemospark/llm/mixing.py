@@ -105,7 +105,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     top = levels[0]
     spark: SparkSession = sizes.sparkSession
     wanted = targets.where("target_share > 0 and max_repeats > 0").groupBy(top).agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("repeats"))
-    goals = {r[0]: (float(r.share), int(r.repeats)) for r in wanted.limit(LEAF_LIMIT).collect()}
+    targeted = wanted.limit(LEAF_LIMIT + 1).collect()
+    if len(targeted) > LEAF_LIMIT:
+        raise ValueError(f"more than {LEAF_LIMIT} targets")
+    goals = {r[0]: (float(r.share), int(r.repeats)) for r in targeted}
     leaf = [f"__l{i}" for i in range(len(levels))]
     named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(x) for c, x in zip(levels, leaf, strict=True)]
     docs = cut(sizes.where("n_tokens > 0").select(F.col("doc_id"), *[F.col(c) for c in levels], F.col("n_tokens").cast("bigint").alias("n_tokens"), *named))
