@@ -55,7 +55,7 @@ _LEAD, _REFER, _EITHER = frozenset(LEADING), frozenset(REFERRING), frozenset(EIT
 PRIOR = {
     "strong": 4.0, "dot": 1.5, "ellipsis": 0.5, "closed": 0.0,
     "next upper": 1.0, "next lower": -6.0, "next digit": -0.5, "next caseless": 1.0, "next opens": 1.0, "next other": -2.0, "next joins": -9.0,
-    "glued": -9.0, "glued start": 6.0,
+    "glued": -9.0, "glued start": 9.0,
     "leads": -7.0, "refers to digit": -6.0, "refers": -1.0, "either": 0.5, "initial": -6.0, "unit": 1.5, "short": -0.3, "dotted": -1.0, "number": -0.2, "german number": -5.0, "long": 0.3,
     "ellipsis before upper": 1.5, "ellipsis before caseless": 1.5, "ellipsis after one word": -6.0, "closed before caseless": -9.0, "strong before lower": -1.0,
 }
@@ -170,12 +170,14 @@ def features(text: str, begin: int, place: tuple[int, int, int], end: int, germa
     low = word.lower()
     if low in _LEAD:
         found.append("leads")
-    elif low in _REFER:
-        found.append("refers to digit" if nxt == "digit" else "refers")
+    elif low in _REFER and nxt == "digit":
+        found.append("refers to digit")
     elif low in _EITHER:
         found.append("either")
     elif word.islower() and len(word) <= 3 and _MEASURED.search(text, max(begin, at - 12), at):
         found.append("unit")
+    elif low in _REFER and len(word) > 1:
+        found.append("refers")
     elif len(word) == 1 and word.isalpha():
         found.append("initial")
     elif word and all(x.isdigit() or x == "." for x in word):

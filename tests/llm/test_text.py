@@ -87,3 +87,41 @@ def test_redaction(spark):
     assert personal.personal_kinds(df.limit(0), "id", "content").count() == 0
     segments = personal.personal_segments(df, "id", "content").where("id = '1'").orderBy("start_char").collect()
     assert [(s.kind, s.value) for s in segments] == [("email", "ann.lee+x@mail.example.org"), ("phone", "(312) 555-0151")]
+
+
+def test_names_beyond_the_limit_are_found_alike(spark, monkeypatch):
+    names = ["Halvard Yarrowick", "Mina Okonjo", "Serge Albarn", "momo_42", "李清照", "王小波", None]
+    identities = spark.createDataFrame([(n,) for n in names], "display_name string")
+    texts = ["Halvard Okonjo told me so", "thanks, Mina Yarrowick", "Unknown Person told me so", "今天李清照和王小波来了", "王清照没来", None, "", "call +49 30 23125 110"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id int, content string, kind string")
+    found = lambda: sorted(map(tuple, personal.personal_segments(df, "id", "content", identities).collect()))
+    clean = lambda: sorted(map(tuple, personal.redact(df, "content", identities).collect()), key=str)
+    few = found(), clean(), sorted(map(tuple, personal.personal_kinds(df, "id", "content", identities).collect()))
+    monkeypatch.setattr(personal, "GAZETTEER_LIMIT", 6 - 1)
+    many = found(), clean(), sorted(map(tuple, personal.personal_kinds(df, "id", "content", identities).collect()))
+    assert few == many and any(k == "name" for _, k, *_ in few[0]) and len(few[1]) == len(texts)
+
+
+TRAINED = [
+    ["The call is over for now.", "She left it to the bot.", "He came at 5 p.m. and left."], ["Jan. and Feb. were cold.", "See fig. 3 on p. 4."], ["\"Nobody told me.\"", "Did anyone look?"], ["La Dra. Ruiz vive cerca.", "¿De verdad?"], ["Hrn. Maier kam am 7. Mai.", "Das war z. B. gut."], ["M. Noir arrive.", "« Attends. Je viens », dit Paul."],
+    ["她说：“先别走。等我。”然后走了。", "好。"],
+]
+
+
+@pytest.mark.parametrize("parts", TRAINED)
+def test_sentences_with_learnt_weights(parts):
+    """Weights that made texts teach, in which months come before small letters and quotations before capitals."""
+    from collections import Counter
+
+    lessons = Counter()
+    for text in ["Jan. and Feb. were warm.\n\nThe bot.\n\nAll is well for now.\n\n“No! Not again.” and so on.\n\nIt took 3 s.", "We met at 5 p.m. and ate, e.g. a pie.\n\nBut why.\n\nVersion 2 vs. version 3 won.", "Wir brauchen z. B. ein Seil.\n\nJa.\n\nDas war es."] * 40:
+        lessons.update(sentences.lessons(text))
+    weights = sentences.fit([(names, label, n) for (names, label), n in sorted(lessons.items())])
+    text = " ".join(parts) if not any("一" <= c <= "鿿" for c in parts[0]) else "".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text, weights)] == parts
+
+
+def test_a_missing_space_does_not_join():
+    parts = ["It ended at 8:45.", "The rest is open.", "\"Who knows?\" asked Ann."]
+    text = "".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text, sentences.PRIOR_WEIGHTS)] == parts
