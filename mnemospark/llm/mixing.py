@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -61,9 +62,9 @@ def _sum_up(node: Node) -> float:
     return node.capacity
 
 
-def reachable_total(root: Node) -> float:
-    """The largest total at which every child of ``root`` with a weight and any tokens gets its share."""
-    able = [c for c in root.children.values() if c.weight > 0 and c.capacity > 0]
+def reachable_total(sources: Iterable[Node]) -> float:
+    """The largest total at which every source with a weight and any tokens gets its share."""
+    able = [c for c in sources if c.weight > 0 and c.capacity > 0]
     whole = sum(c.weight for c in able)
     return min((c.capacity * whole / c.weight for c in able), default=0.0)
 
@@ -80,15 +81,17 @@ def _stops(leaves: list[tuple[tuple, int, list[int]]]) -> list[tuple]:
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, levels: tuple[str, ...] = ("source", "lang"), seed: int = SEED) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, levels: tuple[str, ...] = ("source", "lang"), seed: int = SEED, domains: dict[str, str] | None = None, stretch: float = 1.0) -> DataFrame:
     """doc_id, the ``levels``, n_tokens and uses of every document that the mix contains.
 
     ``sizes`` has a unique doc_id, the level columns and n_tokens; ``targets``
-    has the first level's column, target_share and max_repeats. The tree is
-    domain, language, ... as given by ``levels``; below the first level nodes
-    weigh what they hold. Without ``total_tokens`` the total is the largest
-    at which every source keeps its share within max_repeats; a larger total
-    gives shortages to siblings first, then to other sources. Null levels are
+    has the first level's column, target_share and max_repeats. The tree has
+    the ``domains`` of the sources on top, if given (sources without one are a
+    domain together), then the ``levels``. A domain weighs what its sources
+    do, and below the sources nodes weigh what they hold. Without
+    ``total_tokens`` the total is ``stretch`` times the largest at which every
+    source keeps its share within max_repeats; a larger total gives shortages
+    to siblings of the same domain first, then to other domains. Null levels are
     one value of their own; sources without target, targets that are null or
     not positive, and documents without tokens are not in the mix. Targets
     repeated for a source are added up, with the least max_repeats. Empty
@@ -116,25 +119,31 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     if len(leaves) > LEAF_LIMIT:
         raise ValueError(f"more than {LEAF_LIMIT} leaves")
     root = Node(1.0)
+    above = lambda source: (domains.get(source, ""),) if domains else ()
+    tops: dict[str, Node] = {}
     repeats = {}
     for r in leaves:
         source = r[0][1:] if r[0] else None
         if source not in goals:
             continue
         node = root
+        for domain in above(source):
+            node = node.children.setdefault(domain, Node(0.0))
+            node.weight += 0.0 if source in tops else goals[source][0]
         for depth in range(len(levels)):
             node = node.children.setdefault(r[depth], Node(goals[source][0] if depth == 0 else 0.0))
+            tops.setdefault(source, node)
             if depth:
                 node.weight += float(r.tokens)
         node.capacity, repeats[tuple(r[: len(levels)])] = float(r.tokens) * goals[source][1], goals[source][1]
     _sum_up(root)
-    budget(root, reachable_total(root) if total_tokens is None else float(total_tokens))
+    budget(root, stretch * reachable_total(tops.values()) if total_tokens is None else float(total_tokens))
     rows = []
     for r in leaves:
         key, node = tuple(r[: len(levels)]), root
         if key not in repeats:
             continue
-        for part in key:
+        for part in (*above(key[0][1:]), *key):
             node = node.children[part]
         epochs = min(int((node.budget + 1e-6) // r.tokens), repeats[key])
         rest = 0 if epochs == repeats[key] else int(node.budget + 1e-6 - epochs * r.tokens)

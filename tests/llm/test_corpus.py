@@ -88,3 +88,35 @@ def test_mix_with_too_large_total_and_edges(spark):
     rows, report = mixed(spark, sizes, [("a", 0.5, 2), ("b", 0.5, 1), ("gone", 0.1, 1), ("never", 0.0, 1)], total_tokens=5000)
     assert report["a"].tokens == 200 and abs(report["b"].tokens - 4800) <= 10 and report["gone"].tokens == 0 and all(x.uses <= 2 for x in rows)
     assert mixed(spark, [], [("a", 1.0, 1)])[0] == []
+
+
+def test_shortages_go_to_sources_of_the_same_domain(spark):
+    """Source a holds 1,000 tokens once; b of its domain takes what a lacks, c of the other domain keeps its share."""
+    sizes = [(i, "abc"[i % 3], "en" if i % 2 else "de", 10, 0) for i in range(300)] + [(1000 + i, "bc"[i % 2], "en", 10, 0) for i in range(2000)]
+    goals = [("a", 0.3, 1), ("b", 0.3, 1), ("c", 0.4, 1)]
+    _, plain = mixed(spark, sizes, goals, domains={"a": "x", "b": "x", "c": "y"})
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in plain.values())
+    _, report = mixed(spark, sizes, goals, domains={"a": "x", "b": "x", "c": "y"}, stretch=2.0)
+    whole = sum(r.tokens for r in report.values())
+    assert report["a"].tokens == 1000 and abs(report["c"].tokens / whole - 0.4) < 0.01 and abs(report["b"].tokens / whole - 0.45) < 0.01
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF_LIMIT", 2)
+    sizes = [(i, "ab"[i % 2], "en", 10, 0) for i in range(10)]
+    with pytest.raises(ValueError):
+        mixed(spark, sizes, [("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)])
+
+
+def test_many_small_items_make_more_runs(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN_ITEMS", 100)
+    specs = spark.createDataFrame([(1, 100_000)], "spec_id int, capacity_tokens int")
+    rows = packing.pack_documents(spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id bigint, n_tokens int"), specs).collect()
+    assert len(rows) == 1000 and len({x.container.split("-")[0] for x in rows}) == 10
+
+
+def test_too_many_specs_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPEC_LIMIT", 1)
+    specs = spark.createDataFrame([(1, 10), (2, 20)], "spec_id int, capacity_tokens int")
+    with pytest.raises(ValueError):
+        packing.pack_documents(spark.createDataFrame([(1, 5)], "doc_id bigint, n_tokens int"), specs)
