@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import phrases as P
 from ..functions import text as X
 from ..operators import gates, scans
 from ..operators.scans import Context
@@ -204,8 +205,30 @@ def durability_levels(spark, sf_dir):
     return m.groupBy(X.durability_of_type(F.col("memory_type"), F.col("durability")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Questions that name each kind of window, and one that names none.
+QUESTIONS = ("前天 聊了什么", "昨日如何", "今天", "上个月的事", "本月 总结", "过去一个月", "上周过得怎么样", "这周", "最近7天", "最近15天", "过去99天", "近三天", "这几天", "最近怎么样", "最近", "hello")
+
+
+def time_windows(spark, sf_dir):
+    """Each question as of the export of each batch."""
+    batches = table(spark, sf_dir, "chat_import_batches", "id", "exported_at").where("exported_at is not null")
+    asked = batches.select("id", "exported_at", F.posexplode(F.array(*[F.lit(q) for q in QUESTIONS])).alias("n", "question"))
+    return asked.select("id", "n", P.time_window(F.col("question"), F.col("exported_at")).alias("w")).select("id", "n", "w.source", "w.start_at", "w.end_at", "w.summary_like")
+
+
+def dated_texts(spark, sf_dir):
+    rows = _memories(spark, sf_dir).where("content is not null and created_at is not null")
+    return rows.select("id", P.dated(F.concat(F.lit("昨晚和今天下午，明天早上；昨天"), "content"), F.to_date("created_at")).alias("text"))
+
+
+def merged_tags(spark, sf_dir):
+    extra = F.array(F.upper(F.get("tags", F.lit(0))), F.lit(" Extra "), F.lit(""), F.col("memory_type"))
+    return _memories(spark, sf_dir).select("id", F.concat_ws("|", P.merged_terms(F.col("tags"), extra, limit=4)).alias("terms"))
+
+
 def queries() -> dict:
     named = (
+        time_windows, dated_texts, merged_tags,
         priority_scan, current_window_scan, private_window_scan, time_window_scan, keyword_scan, top_n_per_type, validity_as_of, owner_validity_page, filtered_page, multi_get, recent_timeline, timeline_window, cross_window_recent,
         pending_windows, summary_trigger, missing_embeddings_antijoin, review_queue, visibility_gate, visibility_gate_private, blocked_reasons, lifecycle_gate, acl_gate, interval_overlap, clean_text, fingerprint, scoped_keys,
         cjk_bigrams, query_terms, redact_text, redact_metadata, session_scopes, normalised_status, durability_levels,
@@ -252,6 +275,14 @@ def _redacted(text: str) -> str:
     return f"""regexp_replace({out}, '\\b({names})\\b(\\s*[:=]\\s*)(?:"[^"\\r\\n]*"|''[^''\\r\\n]*''|[^\\s,;\\r\\n]+)', '\\1\\2[REDACTED]', 'gi')"""
 
 
+def _dated() -> str:
+    """Words relative to d written as dates, one pattern after the other."""
+    out = "text"
+    for pattern, shift, part in P.RELATIVE:
+        out = f"regexp_replace({out}, '{pattern}', strftime(d + {shift}, '%Y-%m-%d') || '{part}', 'g')"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     by_importance = "importance DESC NULLS LAST"
     domain = "left(sha1(lower(concat_ws('|', 'domain', owner_bot_id, platform, scope, session_id, group_id))), 24)"
@@ -307,6 +338,15 @@ s AS (SELECT ref_id, k, unnest(CASE WHEN regexp_matches(w, '^[\x{4e00}-\x{9fff}]
 f AS (SELECT ref_id, term, min(k * 100000 + i) AS pos FROM s WHERE length(term) >= 2 GROUP BY 1, 2), n AS (SELECT ref_id, term, row_number() OVER (PARTITION BY ref_id ORDER BY pos) - 1 AS place FROM f)
 SELECT ref_id, CAST(place AS INT) AS place, term FROM n WHERE place < 24""",
         "redact_text": f"""SELECT id, {_redacted("content || '" + SECRETS.replace("'", "''") + " PASSWORD=' || id")} AS clean FROM timeline""",
+        "time_windows": f"""WITH q AS (SELECT id, (exported_at AT TIME ZONE 'Asia/Shanghai')::DATE AS d, unnest(range({len(QUESTIONS)})) AS n FROM chat_import_batches WHERE exported_at IS NOT NULL),
+w AS (SELECT id, n::INT AS n, d, CASE n WHEN 0 THEN 'day_before_yesterday' WHEN 1 THEN 'yesterday' WHEN 2 THEN 'today' WHEN 3 THEN 'previous_month' WHEN 4 THEN 'current_month' WHEN 5 THEN 'recent_month' WHEN 6 THEN 'previous_week' WHEN 7 THEN 'current_week' WHEN 8 THEN 'recent_week' WHEN 9 THEN 'recent_15_days' WHEN 10 THEN 'recent_60_days'
+  WHEN 11 THEN 'recent_3_days' WHEN 12 THEN 'recent_few_days' WHEN 13 THEN 'recent_default_summary' END AS source, n IN (0, 1, 4, 6, 13) AS summary_like FROM q),
+e AS (SELECT *, CASE n WHEN 0 THEN d - 2 WHEN 1 THEN d - 1 WHEN 2 THEN d WHEN 3 THEN date_trunc('month', d) - INTERVAL 1 MONTH WHEN 4 THEN date_trunc('month', d) WHEN 5 THEN d - 30 WHEN 6 THEN date_trunc('week', d) - INTERVAL 7 DAY WHEN 7 THEN date_trunc('week', d) WHEN 8 THEN d - 7 WHEN 9 THEN d - 15 WHEN 10 THEN d - 60 WHEN 11 THEN d - 3 WHEN 12 THEN d - 3 WHEN 13 THEN d - 7 END::TIMESTAMP AS s,
+  CASE WHEN n = 0 THEN d - 1 WHEN n = 1 THEN d WHEN n = 3 THEN date_trunc('month', d) WHEN n = 6 THEN date_trunc('week', d) WHEN n <= 13 THEN d + 1 END::TIMESTAMP AS t FROM w)
+SELECT id, n, source, s AT TIME ZONE 'Asia/Shanghai' AS start_at, t AT TIME ZONE 'Asia/Shanghai' AS end_at, summary_like FROM e""",
+        "dated_texts": f"SELECT id, {_dated()} AS text FROM (SELECT id, '昨晚和今天下午，明天早上；昨天' || content AS text, created_at::DATE AS d FROM memories WHERE content IS NOT NULL AND created_at IS NOT NULL)",
+        "merged_tags": """WITH t AS (SELECT id, list_concat(coalesce(tags, []), [upper(tags[1]), 'Extra', memory_type]) AS l FROM memories), u AS (SELECT id, trim(unnest(l)) AS t, unnest(range(1, len(l) + 1)) AS i FROM t),
+f AS (SELECT id, lower(t) AS low, first(t ORDER BY i) AS t, min(i) AS i FROM u WHERE t <> '' GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM f) SELECT id, string_agg(t, '|' ORDER BY i) FILTER (k <= 4) AS terms FROM n GROUP BY id""",
         "redact_metadata": f"""SELECT id, metadata->>'trace' AS trace, metadata->>'message_id' AS message_id, '[REDACTED]' AS db_password, 'password: [REDACTED]' AS remark FROM timeline WHERE metadata LIKE '{{"%'""",
         "session_scopes": """WITH k AS (SELECT unnest([session_id, 'x:Group:y:' || p, 'x:PrivateMessage:' || p, 'x:friend:' || p, 'x:MyGroup:' || p, 'p:GroupMessage:friend:' || p]) AS k FROM (SELECT session_id, split_part(session_id, ':', -1) AS p FROM timeline WHERE session_id IS NOT NULL)),
 l AS (SELECT k, lower(k) AS l FROM k), s AS (SELECT CASE WHEN contains(l, ':groupmessage:') OR contains(l, ':group:') THEN 'group' WHEN contains(l, ':friendmessage:') OR contains(l, ':privatemessage:') OR contains(l, ':friend:') OR contains(l, ':private:') THEN 'private' ELSE 'unknown' END AS scope,

@@ -34,7 +34,7 @@ def parse_lines(lines: DataFrame, batches: DataFrame | None = None) -> DataFrame
 
     A header line opens a message, the lines up to the next are its body; lines
     before the first header belong to none. Bodies above ``MAX_CONTENT``
-    characters are cut to it. Times without year are the nearest to the message
+    characters are cut to it, and n_cut tells how many characters that took. Times without year are the nearest to the message
     before. A file's lines are numbered in blocks, the last header of each
     block being carried on, so a file of any length is many tasks.
     """
@@ -47,8 +47,9 @@ def parse_lines(lines: DataFrame, batches: DataFrame | None = None) -> DataFrame
     joined = marked.join(carried, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).withColumn("head", F.coalesce("head", "carried")).where("head is not null")
     body = F.array_sort(F.collect_list(F.when(F.col("line_no") > F.col("head"), F.struct("line_no", "line"))))
     messages = joined.groupBy("file", "head").agg(F.max(F.when(F.col("line_no") == F.col("head"), F.col("speaker"))).alias("speaker"), F.max(F.when(F.col("line_no") == F.col("head"), F.col("raw_time"))).alias("raw_time"), body.alias("body"))
-    content = F.substring(F.regexp_replace(F.array_join(F.transform("body", lambda x: x["line"]), "\n"), r"\s+$", ""), 1, MAX_CONTENT)
-    messages = messages.select("file", F.col("head").alias("sequence"), F.trim("speaker").alias("speaker"), "raw_time", content.alias("content"), F.col("head").alias("source_line"), (F.length("raw_time") < 17).alias("inferred_year"))
+    whole = F.regexp_replace(F.array_join(F.transform("body", lambda x: x["line"]), "\n"), r"\s+$", "")
+    content, beyond = F.substring(whole, 1, MAX_CONTENT), F.greatest(F.lit(0), F.length(whole) - MAX_CONTENT)
+    messages = messages.select("file", F.col("head").alias("sequence"), F.trim("speaker").alias("speaker"), "raw_time", content.alias("content"), beyond.alias("n_cut"), F.col("head").alias("source_line"), (F.length("raw_time") < 17).alias("inferred_year"))
     keyed = messages.withColumn("row_id", F.concat_ws("#", "file", "sequence"))
     spark = lines.sparkSession
     known = batches if batches is not None else spark.createDataFrame([], "id string, locale string, source_timezone string, base_year int, exported_at timestamp")
