@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,3 +197,55 @@ def erase_namespace(records: DataFrame, where: Column) -> DataFrame:
 def live_records(records: DataFrame, namespace: str, kind: str, limit: int = 100) -> DataFrame:
     """The records of a namespace and kind that aren't deleted, in order of revision."""
     return records.where((F.col("namespace") == namespace) & (F.col("record_kind") == kind) & ~F.col("deleted")).orderBy("revision", "record_id").limit(limit)
+
+
+# What a record's salience, importance and confidence are where nothing is given.
+DEFAULT_SALIENCE, DEFAULT_IMPORTANCE, DEFAULT_CONFIDENCE = 0.3, 0.3, 0.5
+# Durabilities that a mode of decay in the metadata stands for.
+MODE_DURABILITY = {"no_decay": "pinned", "scar_slow_decay": "durable", "creative_milestone": "durable", "slow_decay": "durable", "summary_decay": "short"}
+
+
+def normalise(memories: DataFrame, now: Column) -> DataFrame:
+    """``memories`` as they are stored: times, texts, scores, states and tags filled in, cleaned and held to their ranges.
+
+    What a column lacks, or holds as its default, is taken from the metadata if
+    they have it, then from other columns: a salience from the importance, a
+    durability from the mode of decay and then from the type, an archived
+    validity from the lifecycle. Texts lose secrets and are cut to 4,000
+    characters, as the store does. Other columns stay as they are.
+    """
+    meta = lambda name: F.nullif(F.get_json_object("metadata", f"$.{name}"), F.lit(""))
+    number = lambda name: meta(name).try_cast("double")
+    score = lambda c, default: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, default)))
+    low = lambda c, n: F.lower(X.clean_text(c, n))
+    importance = score(F.col("importance"), F.lit(DEFAULT_IMPORTANCE))
+    validity = F.coalesce(F.nullif(F.col("validity_status"), F.lit("")), F.lit("active"))
+    validity = F.when(validity == "active", F.coalesce(meta("validity_status"), validity)).otherwise(validity)
+    validity = F.when(F.col("lifecycle").eqNullSafe("archived") & (validity == "active"), "archived").otherwise(validity)
+    held = F.coalesce(F.nullif(low(F.col("durability"), 24), F.lit("")), F.lit("normal"))
+    mode = reduce(lambda c, e: c.when(low(meta("decay_mode"), 40) == e[0], e[1]), MODE_DURABILITY.items(), F.when(F.lit(False), F.lit(""))).otherwise("normal")
+    told = low(meta("durability"), 24)
+    older = F.when(told.isin(*X.DURABILITY_DAYS), told).when(told != "", "normal").otherwise(mode)
+    durability = F.when(held != "normal", held).when(older != "normal", older).otherwise(X.durability_of_type(F.col("memory_type"), F.lit("normal")))
+    secrecy = F.coalesce(F.nullif(F.col("sensitivity"), F.lit("")), F.lit("private"))
+    salience = F.when(F.coalesce("salience", F.lit(DEFAULT_SALIENCE)) == DEFAULT_SALIENCE, F.coalesce(number("salience"), importance)).otherwise(F.col("salience"))
+    created = F.coalesce("created_at", now)
+    tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: X.clean_text(t, 80)), lambda t: t != "")
+    return memories.withColumns({
+        "created_at": created, "updated_at": F.coalesce("updated_at", created), "occurred_at": F.coalesce("occurred_at", created), "content": X.clean_text(X.redact_secrets(F.col("content")), 4000), "evidence": X.clean_text(X.redact_secrets(F.col("evidence")), 4000),
+        "confidence": score(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)), "importance": importance, "owner_bot_id": X.clean_text(F.coalesce(F.nullif(F.col("owner_bot_id"), F.lit("")), meta("owner_bot_id")), 120), "validity_status": X.validity_status(validity),
+        "salience": score(salience, importance), "durability": F.when(durability.isin(*X.DURABILITY_DAYS), durability).otherwise("normal"), "sensitivity": X.sensitivity(F.when(secrecy == "private", F.coalesce(meta("sensitivity"), secrecy)).otherwise(secrecy)),
+        "reinforcement_score": score(F.when(F.coalesce("reinforcement_score", F.lit(0.0)) == 0.0, F.coalesce(number("reinforcement_score"), F.lit(0.0))).otherwise(F.col("reinforcement_score")), F.lit(0.0)), "tags": tags,
+        "merged_count": F.greatest(F.lit(1), F.coalesce("merged_count", F.lit(1))).cast(memories.schema["merged_count"].dataType),
+    })
+
+
+def session_context(rows: DataFrame) -> DataFrame:
+    """``rows`` (session_id, scope, platform, user_id, group_id) with what the session key tells filled in where a column lacks it."""
+    clean = {c: X.clean_text(F.col(c), n) for c, n in (("session_id", 200), ("scope", 40), ("platform", 80), ("user_id", 120), ("group_id", 120))}
+    out = rows.withColumns(clean).withColumn("__s", X.session_scope(F.col("session_id")))
+    out = out.withColumn("scope", F.when(F.col("scope").isin("", "unknown"), F.col("__s.scope")).otherwise(F.col("scope")))
+    fill = lambda c, when, value: F.when((F.col(c) == "") & when, X.clean_text(value, 120)).otherwise(F.col(c))
+    return out.withColumns({
+        "platform": fill("platform", F.col("session_id").contains(":"), F.substring_index("session_id", ":", 1)), "user_id": fill("user_id", F.col("scope") == "private", F.col("__s.target")), "group_id": fill("group_id", F.col("scope") == "group", F.col("__s.target")),
+    }).drop("__s")

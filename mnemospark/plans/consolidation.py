@@ -162,16 +162,32 @@ def usage_report(spark, sf_dir):
     return reports.usage(table(spark, sf_dir, "events", "event_type", "value"), "event_type", "value")
 
 
+def _hanging(spark, sf_dir) -> dict:
+    """What hangs on memories: edges and relationships, reviews, vectors and the log of what was told."""
+    m = _memories(spark, sf_dir)
+    return {
+        "knowledge_edges": graph.build(m)[1].select("memory_id"), "relationship_edges": m.where("subject.id is not null and object.id is not null").select(F.col("id").alias("memory_id")), "review_queue": m.where("review_status = 'pending'").select(F.col("id").alias("memory_id")),
+        "memory_embeddings": m.where("content is not null").select(F.col("id").alias("memory_id")), "injection_logs": m.where("last_injected_at is not null").select(F.col("id").alias("memory_id")),
+    }
+
+
 def scoped_clear_preview(spark, sf_dir):
+    """What clearing a group would delete from the tables that name it and from those that hang on its memories."""
     group = "880000001"
-    return reports.scoped_clear({"memories": (_memories(spark, sf_dir), F.col("group_id") == group), "timeline": (_timeline(spark, sf_dir), F.col("session_id").endswith(f":{group}"))})
+    m = _memories(spark, sf_dir)
+    ids = m.where(F.col("group_id") == group).select(F.col("id").alias("memory_id"))
+    own = {"memories": (m, F.col("group_id") == group), "timeline": (_timeline(spark, sf_dir), F.col("session_id").endswith(f":{group}")), "knowledge_nodes": (graph.build(m)[0], (F.col("node_type") == "window") & F.col("label").endswith(f":{group}"))}
+    hanging = {n: (df.join(ids, "memory_id", "left_semi"), F.lit(True)) for n, df in _hanging(spark, sf_dir).items()}
+    return reports.scoped_clear(own | hanging)
 
 
 def cascade_delete(spark, sf_dir):
-    memories = _memories(spark, sf_dir)
-    gone = memories.where("validity_status = 'expired'").select("id")
-    nodes, edges = graph.build(memories)
-    return reports.without(edges, gone, "memory_id").groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    """What is left of each table after the expired memories and all that hangs on them are gone."""
+    m = _memories(spark, sf_dir)
+    gone = m.where("validity_status = 'expired'").select("id")
+    tables = {"memories": (m, "id")} | {n: (df, "memory_id") for n, df in _hanging(spark, sf_dir).items()}
+    left = {n: (reports.without(df, gone, key), F.lit(True)) for n, (df, key) in tables.items()}
+    return reports.scoped_clear(left)
 
 
 def union_name_lookup(spark, sf_dir):
@@ -194,6 +210,8 @@ _EDGES = """e AS (SELECT DISTINCT source, target, relation, memory_id FROM (
   UNION ALL SELECT subject.kind || ':' || subject.id, 'memory:' || id, 'subject_of', id FROM memories UNION ALL SELECT object.kind || ':' || object.id, 'memory:' || id, 'object_of', id FROM memories
   UNION ALL SELECT subject.kind || ':' || subject.id, 'window:' || session_id, 'participated_in', id FROM memories
   UNION ALL SELECT 'memory:' || id, 'topic:' || tag, 'has_topic', id FROM (SELECT id, unnest(tags) AS tag FROM memories) WHERE tag IS NOT NULL) WHERE source IS NOT NULL AND target IS NOT NULL)"""
+_HANGING = """h AS (SELECT 'knowledge_edges' AS table_name, memory_id FROM e UNION ALL SELECT 'relationship_edges', id FROM memories WHERE subject.id IS NOT NULL AND object.id IS NOT NULL UNION ALL SELECT 'review_queue', id FROM memories WHERE review_status = 'pending'
+  UNION ALL SELECT 'memory_embeddings', id FROM memories WHERE content IS NOT NULL UNION ALL SELECT 'injection_logs', id FROM memories WHERE last_injected_at IS NOT NULL)"""
 _BOTH = "b AS (SELECT source AS a, target AS z, relation FROM e UNION ALL SELECT target, source, relation FROM e)"
 _STARTS = "('topic:lantern'), ('topic:violin'), ('topic:bakery')"
 _REVISED = "r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS revision, ts::DATE AS day FROM events)"
@@ -282,8 +300,9 @@ count(DISTINCT owner_bot_id) AS n_bots, max(CASE WHEN subject.id = wi THEN subje
 SELECT platform, owner_bot_id, persona_id, scope, owner_id, visibility, count(*) AS n, min(seen) AS start_at, max(seen) AS end_at, round(greatest(0.45, least(0.78, max(importance) + 0.05)), 6) AS importance, string_agg(id, '|' ORDER BY nth) FILTER (nth <= 8) AS evidence
 FROM n WHERE nth <= 24 GROUP BY platform, owner_bot_id, persona_id, scope, owner_id, visibility HAVING count(*) >= 4""",
         "usage_report": "SELECT event_type AS task, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS largest FROM events GROUP BY GROUPING SETS ((), (event_type))",
-        "scoped_clear_preview": "SELECT 'memories' AS table_name, count(*) AS n FROM memories WHERE group_id = '880000001' UNION ALL SELECT 'timeline', count(*) FROM timeline WHERE session_id LIKE '%:880000001'",
-        "cascade_delete": f"WITH {_EDGES} SELECT relation, count(*) AS n FROM e WHERE memory_id NOT IN (SELECT id FROM memories WHERE validity_status = 'expired') GROUP BY relation",
+        "scoped_clear_preview": f"""WITH {_EDGES}, {_HANGING}, g AS (SELECT id FROM memories WHERE group_id = '880000001'), n AS (SELECT DISTINCT session_id FROM memories WHERE session_id LIKE '%:880000001')
+SELECT 'memories' AS table_name, count(*) AS n FROM g UNION ALL SELECT 'timeline', count(*) FROM timeline WHERE session_id LIKE '%:880000001' UNION ALL SELECT 'knowledge_nodes', count(*) FROM n UNION ALL SELECT table_name, count(*) FILTER (memory_id IN (SELECT id FROM g)) FROM h GROUP BY table_name""",
+        "cascade_delete": f"""WITH {_EDGES}, {_HANGING}, x AS (SELECT id FROM memories WHERE validity_status = 'expired') SELECT 'memories' AS table_name, count(*) AS n FROM memories WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT table_name, count(*) FILTER (memory_id NOT IN (SELECT id FROM x)) FROM h GROUP BY table_name""",
         "union_name_lookup": f"""WITH n AS (SELECT subject.id AS entity_id, subject.name AS name, {_SEEN} AS seen FROM memories WHERE subject.kind = 'user' AND subject.name IS NOT NULL UNION ALL SELECT entity_id, display_name, updated_at FROM identities WHERE display_name IS NOT NULL)
 SELECT entity_id, first(name ORDER BY seen DESC NULLS LAST, name DESC) AS name FROM n GROUP BY entity_id""",
     }

@@ -164,8 +164,27 @@ def namespace_list(spark, sf_dir):
     return records.live_records(_scoped(spark, sf_dir), "private|bot_2", "preference", 50).select("record_id", "revision")
 
 
+def normalised_records(spark, sf_dir):
+    """The memories with gaps made in their columns, half of them told in the metadata."""
+    m = _memories(spark, sf_dir)
+    n = F.conv(F.substring("id", 13, 4), 16, 10).cast("bigint")
+    gap = lambda c, k, other=None: F.when(n % k == 0, F.lit(other)).otherwise(F.col(c))
+    rough = m.withColumns({
+        "created_at": F.when(n % 7 == 0, None).otherwise(F.col("created_at")), "importance": F.when(n % 5 == 0, 3.0).otherwise(F.col("importance")), "salience": gap("salience", 3, 0.3), "durability": gap("durability", 2, "normal"), "validity_status": gap("validity_status", 11, ""), "sensitivity": gap("sensitivity", 13, "odd"), "owner_bot_id": gap("owner_bot_id", 3, ""),
+        "metadata": F.when(n % 4 == 0, F.lit('{"owner_bot_id": "bot_9", "decay_mode": "slow_decay", "salience": 0.9, "validity_status": "expired", "sensitivity": "public"}')).otherwise(F.lit("{}")),
+    })
+    out = records.normalise(rough, _now())
+    return out.select("id", "created_at", "updated_at", "occurred_at", F.sha1("content").alias("content_hash"), "confidence", F.round("importance", 6).alias("importance"), "owner_bot_id", "validity_status", F.round("salience", 6).alias("salience"), "durability", "sensitivity", F.concat_ws("|", "tags").alias("tags"))
+
+
+def session_contexts(spark, sf_dir):
+    rows = _timeline(spark, sf_dir).select("id", "session_id", F.when(F.substring("id", 4, 1) < "8", F.col("scope")).alias("scope"), F.lit("").alias("platform"), F.lit(None).cast("string").alias("user_id"), F.when(F.substring("id", 5, 1) < "4", "given").alias("group_id"))
+    return records.session_context(rows)
+
+
 def queries() -> dict:
     named = (
+        normalised_records, session_contexts,
         recent_memories, decay_pool, identity_page, relationship_page, thread_page, log_page, import_batches, import_memories, import_memory_counts, import_missing_vectors, archive_memories, review_decisions, lifecycle_change, usage_marks,
         prune_timeline, summary_marks, event_keys, ingest_events, summary_failures, event_append, delivery_acks, event_trace, namespace_erase, namespace_list,
     )
@@ -182,7 +201,22 @@ _SCOPED = "s AS (SELECT concat_ws('|', scope, owner_bot_id) AS namespace, memory
 
 def oracle_sql() -> dict[str, str]:
     number = "('0x' || substr(id, 13, 8))::BIGINT"
+    clean = lambda c: rf"trim(regexp_replace(coalesce({c}, ''), '[\s\x{{3000}}]+', ' ', 'g'))"
     return {
+        "normalised_records": f"""WITH r AS (SELECT * REPLACE (CASE WHEN n % 7 = 0 THEN NULL ELSE created_at END AS created_at, CASE WHEN n % 5 = 0 THEN 3.0 ELSE importance END AS importance, CASE WHEN n % 3 = 0 THEN 0.3 ELSE salience END AS salience, CASE WHEN n % 2 = 0 THEN 'normal' ELSE durability END AS durability,
+  CASE WHEN n % 11 = 0 THEN '' ELSE validity_status END AS validity_status, CASE WHEN n % 13 = 0 THEN 'odd' ELSE sensitivity END AS sensitivity, CASE WHEN n % 3 = 0 THEN '' ELSE owner_bot_id END AS owner_bot_id), n % 4 = 0 AS told FROM (SELECT *, ('0x' || substr(id, 13, 4))::BIGINT AS n FROM memories)),
+c AS (SELECT *, coalesce(created_at, {_AT}) AS made, greatest(0.0, least(1.0, coalesce(importance, 0.3))) AS imp, coalesce(nullif(validity_status, ''), 'active') AS v, coalesce(nullif(sensitivity, ''), 'private') AS s, coalesce(nullif(lower(trim(durability)), ''), 'normal') AS d, lower(trim(coalesce(memory_type, ''))) AS k FROM r),
+e AS (SELECT *, CASE WHEN v = 'active' AND told THEN 'expired' WHEN v = 'active' AND lifecycle = 'archived' THEN 'archived' ELSE lower(trim(v)) END AS v2, CASE WHEN s = 'private' AND told THEN 'public' ELSE lower(trim(s)) END AS s2,
+  CASE WHEN d <> 'normal' THEN d WHEN told THEN 'durable' WHEN k IN ('manual_memory', 'explicit_memory') THEN 'pinned' WHEN k IN ('user_profile', 'user_preference', 'relationship_claim', 'promise', 'open_loop', 'creative_work') THEN 'durable' WHEN k IN ('emotion_state', 'current_state', 'schedule_fragment', 'bot_detail_fragment', 'proactive_message') THEN 'short'
+  WHEN k IN ('raw_event', 'timeline_event') THEN 'ephemeral' ELSE 'normal' END AS d2 FROM c)
+SELECT id, made AS created_at, coalesce(updated_at, made) AS updated_at, coalesce(occurred_at, made) AS occurred_at, sha1(CASE WHEN length({clean("content")}) > 4000 THEN rtrim(left({clean("content")}, 3999)) || '…' ELSE {clean("content")} END) AS content_hash, greatest(0.0, least(1.0, coalesce(confidence, 0.5))) AS confidence, round(imp, 6) AS importance,
+trim(coalesce(nullif(owner_bot_id, ''), CASE WHEN told THEN 'bot_9' END, '')) AS owner_bot_id, CASE WHEN v2 IN ('active', 'superseded', 'expired', 'archived', 'deleted', 'quarantined') THEN v2 ELSE 'quarantined' END AS validity_status,
+round(greatest(0.0, least(1.0, CASE WHEN coalesce(salience, 0.3) = 0.3 THEN CASE WHEN told THEN 0.9 ELSE imp END ELSE salience END)), 6) AS salience, CASE WHEN d2 IN ('ephemeral', 'short', 'normal', 'durable', 'pinned') THEN d2 ELSE 'normal' END AS durability,
+CASE WHEN s2 IN ('public', 'internal', 'private', 'restricted') THEN s2 ELSE 'restricted' END AS sensitivity, array_to_string(list_filter(list_transform(coalesce(tags, []), lambda t: trim(coalesce(t, ''))), lambda t: t <> ''), '|') AS tags FROM e""",
+        "session_contexts": """WITH s AS (SELECT id, coalesce(session_id, '') AS session_id, CASE WHEN substr(id, 4, 1) < '8' THEN coalesce(scope, '') ELSE '' END AS scope, CASE WHEN substr(id, 5, 1) < '4' THEN 'given' ELSE '' END AS g FROM timeline),
+p AS (SELECT *, CASE WHEN contains(lower(session_id), ':groupmessage:') THEN 'group' WHEN contains(lower(session_id), ':friendmessage:') THEN 'private' ELSE 'unknown' END AS told, CASE WHEN contains(session_id, ':') THEN split_part(session_id, ':', -1) ELSE '' END AS target FROM s),
+q AS (SELECT *, CASE WHEN scope IN ('', 'unknown') THEN told ELSE scope END AS sc, CASE WHEN told = 'unknown' THEN '' ELSE target END AS t FROM p)
+SELECT id, session_id, sc AS scope, CASE WHEN contains(session_id, ':') THEN split_part(session_id, ':', 1) ELSE '' END AS platform, CASE WHEN sc = 'private' THEN t ELSE '' END AS user_id, CASE WHEN g <> '' THEN g WHEN sc = 'group' THEN t ELSE '' END AS group_id FROM q""",
         "recent_memories": "SELECT id, created_at FROM memories WHERE coalesce(review_status, '') <> 'pending' ORDER BY created_at DESC NULLS LAST, id LIMIT 60",
         "decay_pool": "SELECT id, occurred_at FROM memories WHERE lifecycle = 'stable_memory' AND coalesce(review_status, '') <> 'pending' ORDER BY coalesce(occurred_at, created_at) ASC NULLS FIRST, created_at ASC NULLS FIRST, id LIMIT 400",
         "identity_page": "SELECT id, entity_id, updated_at FROM identities ORDER BY updated_at DESC NULLS LAST, id LIMIT 40 OFFSET 20",
