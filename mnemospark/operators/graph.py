@@ -49,6 +49,16 @@ def neighbours(edges: DataFrame, starts: DataFrame, node: str = "node") -> DataF
     return starts.select(F.col(node).alias("start")).distinct().join(both, F.col("start") == F.col("a")).select("start", F.col("b").alias("node"), "relation", "memory_id")
 
 
+def edge_page(edges: DataFrame, memories: DataFrame, filters: dict[str, str | None], limit: int) -> DataFrame:
+    """The surest edges of the memories that pass ``filters`` (scope, session_id, group_id and the like)."""
+    rows = memories.select(F.col("id").alias("__m"), *[F.col(c).alias(f"__{c}") for c in filters])
+    for column, value in filters.items():
+        if value:
+            rows = rows.where(F.col(f"__{column}") == value)
+    met = edges.join(rows.select("__m"), F.col("memory_id") == F.col("__m"), "left_semi")
+    return met.orderBy(F.col("confidence").desc_nulls_last(), "source", "target", "relation", "memory_id").limit(limit)
+
+
 def paths(nodes: DataFrame, edges: DataFrame, terms: list[str], limit: int = 200) -> DataFrame:
     """Edges an end of whose label contains a term, with both labels; surest first."""
     any_of = reduce(lambda a, b: a | b, [F.lower("label").contains(t.lower()) for t in terms])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +106,27 @@ def page(df: DataFrame, filters: dict[str, str | None], limit: int, after: tuple
     return df.orderBy(*order).limit(limit)
 
 
+def matching_page(memories: DataFrame, query: str = "", entity: str = "", filters: dict[str, str | None] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of memories, newest first: equality for each filter that is set, ``query`` contained in a text or id whatever its case, ``entity`` as subject, object or group."""
+    for column, value in (filters or {}).items():
+        if value:
+            memories = memories.where(F.col(column) == value)
+    if query:
+        hay = [F.lower(F.coalesce(c, F.lit(""))).contains(query.lower()) for c in ("content", "evidence", "subject.id", "subject.name", "object.id", "object.name", "session_id", "group_id", "metadata")]
+        memories = memories.where(reduce(lambda a, b: a | b, hay))
+    if entity:
+        memories = memories.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(c) == entity, F.lit(False)) for c in ("subject.id", "object.id", "group_id")]))
+    return memories.orderBy(F.col("created_at").desc_nulls_last(), "id").offset(offset).limit(limit)
+
+
+def pending_rows(timeline: DataFrame, session_id: str, limit: int, after: tuple | None = None) -> DataFrame:
+    """The first ``limit`` unsummarised messages of a session after a cursor (occurred_at, id), oldest first; rows without time are left out."""
+    rows = timeline.where(F.col("summarized_at").isNull() & F.col("event_type").isin(*MESSAGES) & (F.col("session_id") == session_id) & F.col("occurred_at").isNotNull())
+    if after is not None:
+        rows = rows.where(F.struct("occurred_at", "id") > F.struct(F.lit(after[0]).cast("timestamp").alias("occurred_at"), F.lit(after[1]).alias("id")))
+    return rows.orderBy("occurred_at", "id").limit(limit)
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is among ``ids``; AQE broadcasts a small id list."""
     return df.join(ids.select(F.col(key).alias("__id")).distinct(), F.col(key) == F.col("__id"), "left_semi")

@@ -59,6 +59,11 @@ def graph_edges(spark, sf_dir):
     return graph.build(_memories(spark, sf_dir))[1].select("source", "target", "relation", "memory_id")
 
 
+def graph_edge_page(spark, sf_dir):
+    m = _memories(spark, sf_dir)
+    return graph.edge_page(graph.build(m)[1], m, {"scope": "group", "group_id": "880000001", "session_id": None}, 150).select("source", "target", "relation", "memory_id")
+
+
 def graph_paths(spark, sf_dir):
     nodes, edges = graph.build(_memories(spark, sf_dir))
     return graph.paths(nodes.where("node_type = 'topic'"), edges, TOPICS).select("source", "target", "relation", "memory_id")
@@ -199,7 +204,7 @@ def union_name_lookup(spark, sf_dir):
 
 def queries() -> dict:
     named = (
-        dedupe_merge, maintenance_dedupe, identity_merge, relationship_edges, single_value_conflicts, keyed_upsert, feedback_fold, graph_nodes, graph_edges, graph_paths, graph_expand, graph_two_hop, latest_revision_antijoin, delivery_keyset, revision_gaps,
+        dedupe_merge, maintenance_dedupe, identity_merge, relationship_edges, single_value_conflicts, keyed_upsert, feedback_fold, graph_nodes, graph_edges, graph_edge_page, graph_paths, graph_expand, graph_two_hop, latest_revision_antijoin, delivery_keyset, revision_gaps,
         compare_and_set, burst_merge, segment_limits, package_prefix, ack_asof_join, bucket_report, preferred_session, stats_by_scope, raw_retention, decay_score, decay_groups, decay_summary, usage_report, scoped_clear_preview, cascade_delete, union_name_lookup,
     )
     return {f.__name__: f for f in named}
@@ -268,6 +273,7 @@ SELECT user_id AS key, round(arg_max(level, n), 6) AS level FROM f GROUP BY user
         "graph_nodes": """SELECT node_type, count(DISTINCT node) AS n FROM (SELECT 'memory:' || id AS node, 'memory' AS node_type FROM memories UNION ALL SELECT 'window:' || session_id, 'window' FROM memories UNION ALL SELECT subject.kind || ':' || subject.id, subject.kind FROM memories
 UNION ALL SELECT object.kind || ':' || object.id, object.kind FROM memories UNION ALL SELECT 'topic:' || tag, 'topic' FROM (SELECT unnest(tags) AS tag FROM memories)) WHERE node IS NOT NULL GROUP BY node_type""",
         "graph_edges": f"WITH {_EDGES} SELECT * FROM e",
+        "graph_edge_page": f"WITH {_EDGES} SELECT e.* FROM e JOIN memories m ON m.id = e.memory_id WHERE m.scope = 'group' AND m.group_id = '880000001' ORDER BY m.confidence DESC NULLS LAST, source, target, relation, memory_id LIMIT 150",
         "graph_paths": f"WITH {_EDGES}, s AS (SELECT DISTINCT 'topic:' || tag AS node FROM (SELECT unnest(tags) AS tag FROM memories) WHERE contains(lower(tag), 'lantern') OR contains(lower(tag), 'violin') OR contains(lower(tag), 'bakery')) SELECT e.* FROM e JOIN memories m ON m.id = e.memory_id WHERE source IN (SELECT node FROM s) OR target IN (SELECT node FROM s) ORDER BY m.confidence DESC NULLS LAST, source, target, relation, memory_id LIMIT 200",
         "graph_expand": f"WITH {_EDGES}, {_BOTH}, s AS (SELECT * FROM (VALUES {_STARTS}) v(node)) SELECT a AS start, z AS node FROM b JOIN s ON s.node = b.a",
         "graph_two_hop": f"""WITH {_EDGES}, {_BOTH}, k AS (SELECT DISTINCT a, z FROM b WHERE relation IN ('has_topic', 'subject_of')), s AS (SELECT v.node FROM (VALUES {_STARTS}) v(node) WHERE v.node IN (SELECT a FROM k)),
