@@ -67,11 +67,11 @@ def filtered_page(spark, sf_dir):
 
 
 def memory_page(spark, sf_dir):
-    return scans.matching_page(_memories(spark, sf_dir), "LAntern", "bot_1", {"scope": "group", "lifecycle": None}, 30, 5).select("id", "memory_type")
+    return scans.matching_page(_memories(spark, sf_dir), "TeleGram", "u100060", {"scope": "private", "lifecycle": None}, 30, 1).select("id", "memory_type")
 
 
 def pending_rows(spark, sf_dir):
-    return scans.pending_rows(_timeline(spark, sf_dir), GROUP.session_id, 60, ("2026-05-05 12:00:00", "tl_5")).select("id", "occurred_at")
+    return scans.pending_rows(_timeline(spark, sf_dir), GROUP.session_id, 60, ("2026-05-04 01:30:00", "tl_5")).select("id", "occurred_at")
 
 
 def multi_get(spark, sf_dir):
@@ -307,8 +307,8 @@ SELECT id, memory_type, nth FROM r WHERE nth <= 7 ORDER BY {_SEEN} DESC NULLS LA
         "owner_validity_page": f"""SELECT id, salience FROM memories WHERE validity_status = 'active' AND (valid_from IS NULL OR valid_from <= '2026-05-24'::TIMESTAMPTZ) AND (valid_to IS NULL OR '2026-05-24'::TIMESTAMPTZ < valid_to) AND owner_bot_id = 'bot_2'
 ORDER BY salience DESC NULLS LAST, {by_importance}, coalesce(valid_from, occurred_at) DESC NULLS LAST, id LIMIT 40""",
         "filtered_page": "SELECT id, content FROM memories WHERE memory_type = 'preference' AND scope = 'private' AND id > 'mem_5' ORDER BY id LIMIT 25",
-        "memory_page": f"SELECT id, memory_type FROM memories WHERE scope = 'group' AND ({' OR '.join(f"contains(lower(coalesce({c}, '')), 'lantern')" for c in ('content', 'evidence', 'subject.id', 'subject.name', 'object.id', 'object.name', 'session_id', 'group_id', 'metadata'))}) AND (coalesce(subject.id = 'bot_1', false) OR coalesce(object.id = 'bot_1', false) OR coalesce(group_id = 'bot_1', false)) ORDER BY created_at DESC NULLS LAST, id LIMIT 30 OFFSET 5",
-        "pending_rows": "SELECT id, occurred_at FROM timeline WHERE summarized_at IS NULL AND event_type IN ('user_message', 'bot_response') AND session_id = 'qq:GroupMessage:880000001' AND (occurred_at > '2026-05-05 12:00:00+00'::TIMESTAMPTZ OR (occurred_at = '2026-05-05 12:00:00+00'::TIMESTAMPTZ AND id > 'tl_5')) ORDER BY occurred_at, id LIMIT 60",
+        "memory_page": f"SELECT id, memory_type FROM memories WHERE scope = 'private' AND ({' OR '.join(f"contains(lower(coalesce({c}, '')), 'telegram')" for c in ('content', 'evidence', 'subject.id', 'subject.name', 'object.id', 'object.name', 'session_id', 'group_id', 'metadata'))}) AND (coalesce(subject.id = 'u100060', false) OR coalesce(object.id = 'u100060', false) OR coalesce(group_id = 'u100060', false)) ORDER BY created_at DESC NULLS LAST, id LIMIT 30 OFFSET 1",
+        "pending_rows": "SELECT id, occurred_at FROM timeline WHERE summarized_at IS NULL AND event_type IN ('user_message', 'bot_response') AND session_id = 'qq:GroupMessage:880000001' AND (occurred_at > '2026-05-04 01:30:00+00'::TIMESTAMPTZ OR (occurred_at = '2026-05-04 01:30:00+00'::TIMESTAMPTZ AND id > 'tl_5')) ORDER BY occurred_at, id LIMIT 60",
         "multi_get": "SELECT id, memory_type FROM memories WHERE id IN (SELECT supersedes_id FROM memories WHERE supersedes_id IS NOT NULL)",
         "recent_timeline": "SELECT id, session_id, occurred_at FROM timeline WHERE scope = 'group' ORDER BY occurred_at DESC NULLS LAST, created_at DESC NULLS LAST, id LIMIT 50",
         "timeline_window": "SELECT id, occurred_at FROM timeline WHERE session_id = 'qq:GroupMessage:880000001' AND occurred_at >= '2026-05-04'::TIMESTAMPTZ AND occurred_at < '2026-05-06'::TIMESTAMPTZ ORDER BY occurred_at DESC, created_at DESC, id LIMIT 500",

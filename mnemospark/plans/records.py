@@ -30,7 +30,7 @@ def identity_page(spark, sf_dir):
 
 def relationship_page(spark, sf_dir):
     rows = _memories(spark, sf_dir).select("id", F.col("subject.id").alias("subject_id"), F.col("object.id").alias("object_id"), "scope", "session_id", "group_id", "updated_at")
-    return records.newest(rows, "updated_at", 50, 0, {"scope": "group", "group_id": "880000001", "session_id": None}, (("subject_id", "object_id"), "bot_1")).select("id", "subject_id", "object_id")
+    return records.newest(rows, "updated_at", 50, 0, {"scope": "group", "group_id": "880000001", "session_id": None}, (("subject_id", "object_id"), "880000001")).select("id", "subject_id", "object_id")
 
 
 def thread_page(spark, sf_dir):
@@ -220,7 +220,7 @@ SELECT id, session_id, sc AS scope, CASE WHEN contains(session_id, ':') THEN spl
         "recent_memories": "SELECT id, created_at FROM memories WHERE coalesce(review_status, '') <> 'pending' ORDER BY created_at DESC NULLS LAST, id LIMIT 60",
         "decay_pool": "SELECT id, occurred_at FROM memories WHERE lifecycle = 'stable_memory' AND coalesce(review_status, '') <> 'pending' ORDER BY coalesce(occurred_at, created_at) ASC NULLS FIRST, created_at ASC NULLS FIRST, id LIMIT 400",
         "identity_page": "SELECT id, entity_id, updated_at FROM identities ORDER BY updated_at DESC NULLS LAST, id LIMIT 40 OFFSET 20",
-        "relationship_page": "SELECT id, subject.id AS subject_id, object.id AS object_id FROM memories WHERE scope = 'group' AND group_id = '880000001' AND (coalesce(subject.id = 'bot_1', false) OR coalesce(object.id = 'bot_1', false)) ORDER BY updated_at DESC NULLS LAST, id LIMIT 50",
+        "relationship_page": "SELECT id, subject.id AS subject_id, object.id AS object_id FROM memories WHERE scope = 'group' AND group_id = '880000001' AND (coalesce(subject.id = '880000001', false) OR coalesce(object.id = '880000001', false)) ORDER BY updated_at DESC NULLS LAST, id LIMIT 50",
         "thread_page": "SELECT id, session_id FROM timeline WHERE event_type = 'user_message' AND session_id IS NOT NULL AND subject_id IS NOT NULL AND (session_id = 'qq:GroupMessage:880000001' OR coalesce(object_id = 'qq:GroupMessage:880000001', false)) ORDER BY created_at DESC NULLS LAST, id LIMIT 30",
         "log_page": "SELECT id, created_at FROM timeline WHERE scope = 'private' ORDER BY created_at DESC NULLS LAST, id LIMIT 30",
         "import_batches": "SELECT id, state, updated_at, (SELECT count(*) FROM parsed_messages p WHERE p.import_batch_id = b.id) AS n_messages, (SELECT count(*) FROM memories m WHERE m.import_batch_id = b.id) AS n_memories FROM chat_import_batches b",
