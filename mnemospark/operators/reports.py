@@ -38,10 +38,9 @@ def raw_retention(memories: DataFrame, before: Column, limit: int | None = None)
     return rows if limit is None else rows.orderBy("seen", "id").limit(limit)
 
 
-# What is never offered to decay, by type, tag and plugin.
+# What is never offered to decay, by type and tag.
 KEPT_TYPES = ("manual_memory", "explicit_memory", "companion_note")
 KEPT_TAGS = ("manual", "needs_review", "protected", "no_decay", "keep")
-KEPT_PLUGINS = ("memory_companion_tool",)
 # By durability, how many times the least age and the least idle time are needed.
 AGE_FACTOR = {"ephemeral": 0.05, "short": 0.35, "normal": 1.0, "durable": 4.0}
 IDLE_FACTOR = {"ephemeral": 0.05, "short": 0.35, "normal": 1.0, "durable": 3.0}
@@ -66,7 +65,7 @@ def decay_owner() -> Column:
     )
 
 
-def decay_candidates(memories: DataFrame, now: Column, threshold: float = DECAY_THRESHOLD) -> DataFrame:
+def decay_candidates(memories: DataFrame, now: Column, threshold: float = DECAY_THRESHOLD, kept_plugins: tuple[str, ...] = ()) -> DataFrame:
     """``memories`` that may be archived, with age_days, idle_days and score.
 
     Old and idle enough for the durability, which importance and metadata
@@ -74,7 +73,8 @@ def decay_candidates(memories: DataFrame, now: Column, threshold: float = DECAY_
     limits (at most three times each), .2 of what lacks in importance and .1 in
     confidence, eased by decay mode, phase and freshness, less a quarter of
     what recalls still hold. Records without any time, pinned ones and those
-    protected by type, tag, mode, plugin or as the bot's own are none.
+    protected by type, tag, mode, their plugin (one of ``kept_plugins``, such as
+    those by which users write) or as the bot's own are none.
     """
     meta = lambda name: F.get_json_object("metadata", f"$.{name}")
     weight = lambda name: _unit(meta(name).try_cast("double"))
@@ -83,7 +83,7 @@ def decay_candidates(memories: DataFrame, now: Column, threshold: float = DECAY_
         "__mode": text(meta("decay_mode")), "__phase": text(meta("relationship_phase")), "__durability": F.coalesce(F.nullif(text(F.col("durability")), F.lit("")), F.lit("normal")), "__anchor": F.coalesce("occurred_at", "created_at"), "__weight": F.greatest(*[weight(w) for w in WEIGHTS]), "__fresh": weight("freshness_weight"),
         "__importance": _unit(F.col("importance")), "__confidence": _unit(F.col("confidence")), "__tags": F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: text(t)),
     })
-    rows = rows.where((F.col("__mode") != "no_decay") & ~text(F.col("memory_type")).isin(*KEPT_TYPES) & ~F.arrays_overlap("__tags", F.array(*[F.lit(t) for t in KEPT_TAGS])) & ~F.coalesce(F.col("visibility") == "bot_self", F.lit(False)) & ~F.coalesce(F.col("source_plugin").isin(*KEPT_PLUGINS), F.lit(False)) & F.col("__anchor").isNotNull() & (F.col("__durability") != "pinned"))
+    rows = rows.where((F.col("__mode") != "no_decay") & ~text(F.col("memory_type")).isin(*KEPT_TYPES) & ~F.arrays_overlap("__tags", F.array(*[F.lit(t) for t in KEPT_TAGS])) & ~F.coalesce(F.col("visibility") == "bot_self", F.lit(False)) & ~F.coalesce(F.col("source_plugin").isin(list(kept_plugins)) if kept_plugins else F.lit(False), F.lit(False)) & F.col("__anchor").isNotNull() & (F.col("__durability") != "pinned"))
     days = lambda c: F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(c)) / F.lit(86_400_000_000.0))
     factor = lambda table: F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("__durability")], F.lit(1.0))
     spared = F.when(F.col("__importance") > DECAY_SOFT_IMPORTANCE, 1.0 + F.least(F.lit(3.0), (F.col("__importance") - DECAY_SOFT_IMPORTANCE) / (1.0 - DECAY_SOFT_IMPORTANCE) * 3.0)).otherwise(1.0)

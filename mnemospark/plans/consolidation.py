@@ -148,18 +148,20 @@ def raw_retention(spark, sf_dir):
 
 #: When the memories are old enough for some to fade.
 LATER = "2027-03-01 00:00:00"
+#: Whose memories don't fade.
+KEPT_PLUGINS = ("diary_bridge",)
 
 
 def decay_score(spark, sf_dir):
-    return reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)).select("id", "age_days", "idle_days", "score")
+    return reports.decay_candidates(_memories(spark, sf_dir), _at(LATER), kept_plugins=KEPT_PLUGINS).select("id", "age_days", "idle_days", "score")
 
 
 def decay_groups(spark, sf_dir):
-    return reports.decay_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)))
+    return reports.decay_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER), kept_plugins=KEPT_PLUGINS))
 
 
 def decay_summary(spark, sf_dir):
-    out = reports.summarise_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER)))
+    out = reports.summarise_groups(reports.decay_candidates(_memories(spark, sf_dir), _at(LATER), kept_plugins=KEPT_PLUGINS))
     return out.select(*reports.DECAY_GROUP, "n", "start_at", "end_at", "importance", F.concat_ws("|", "evidence").alias("evidence"))
 
 
@@ -237,7 +239,7 @@ _DECAY = f"""d AS (SELECT *, lower(trim(coalesce({_json("decay_mode")}, ''))) AS
 a AS (SELECT *, greatest(0.0, (epoch_us('{LATER}'::TIMESTAMPTZ) - epoch_us(anchor)) / 86400000000.0) AS age, greatest(0.0, (epoch_us('{LATER}'::TIMESTAMPTZ) - epoch_us(coalesce(last_injected_at, last_accessed_at, anchor))) / 86400000000.0) AS idle,
   CASE WHEN imp > 0.74 THEN 1.0 + least(3.0, (imp - 0.74) / (1.0 - 0.74) * 3.0) ELSE 1.0 END AS spared, CASE dur WHEN 'ephemeral' THEN 0.05 WHEN 'short' THEN 0.35 WHEN 'durable' THEN 4.0 ELSE 1.0 END AS fa, CASE dur WHEN 'ephemeral' THEN 0.05 WHEN 'short' THEN 0.35 WHEN 'durable' THEN 3.0 ELSE 1.0 END AS fi FROM d
   WHERE dmode <> 'no_decay' AND lower(coalesce(memory_type, '')) NOT IN ('manual_memory', 'explicit_memory', 'companion_note') AND NOT list_has_any(list_transform(coalesce(tags, []), lambda t: lower(trim(coalesce(t, '')))), ['manual', 'needs_review', 'protected', 'no_decay', 'keep'])
-  AND coalesce(visibility, '') <> 'bot_self' AND coalesce(source_plugin, '') <> 'memory_companion_tool' AND anchor IS NOT NULL AND dur <> 'pinned'),
+  AND coalesce(visibility, '') <> 'bot_self' AND coalesce(source_plugin, '') <> 'diary_bridge' AND anchor IS NOT NULL AND dur <> 'pinned'),
 l AS (SELECT *, greatest(1, floor(180 * (fa::DOUBLE * spared * (1.0 + weight * 2.0)))) AS la, greatest(1, floor(90 * (fi::DOUBLE * greatest(1.0, CASE WHEN imp > 0.74 THEN spared * 0.75 ELSE 1.0 END) * (1.0 + weight * 1.5)))) AS li FROM a),
 r AS (SELECT *, (least(3.0, age / la) * 0.35 + least(3.0, idle / li) * 0.35 + (1.0 - imp) * 0.2 + (1.0 - conf) * 0.1) * CASE dmode WHEN 'slow_decay' THEN 0.72 WHEN 'summary_decay' THEN 0.86 ELSE 1.0 END * CASE WHEN dmode IN ('scar_slow_decay', 'creative_milestone') OR phase IN ('conflict', 'repair', 'comfort') THEN 0.62 ELSE 1.0 END
   * CASE WHEN fresh >= 0.45 THEN 0.82 ELSE 1.0 END AS eased, {_UNIT.format(f"coalesce(nullif(reinforcement_score, 0.0), TRY_CAST({_json('reinforcement_score')} AS DOUBLE), 0.0)")} AS held FROM l WHERE age >= la AND idle >= li),
