@@ -238,6 +238,16 @@ SELECT id, round(0.5 * CASE WHEN b > a THEN (importance - a) / (b - a) ELSE 0.5
 w AS (SELECT *, row_number() OVER (ORDER BY combined DESC, id) AS was FROM p), o AS (SELECT *, row_number() OVER (ORDER BY was) AS nth FROM w WHERE was > 8 AND anchor), i AS (SELECT *, row_number() OVER (ORDER BY was DESC) AS nth FROM w WHERE was <= 8 AND NOT anchor),
 s AS (SELECT o.id AS a, o.was AS aw, i.id AS b, i.was AS bw FROM o JOIN i USING (nth))
 SELECT w.id, combined, anchor, coalesce((SELECT bw FROM s WHERE a = w.id), (SELECT aw FROM s WHERE b = w.id), was) AS place FROM w""",
+        "mmr": rf"""WITH RECURSIVE p AS (SELECT memory_type AS t, id, importance AS score, regexp_replace({_HAYSTACK}, '\s+', '', 'g') AS flat, tags, source_plugin, row_number() OVER (PARTITION BY memory_type ORDER BY importance DESC NULLS LAST, id) AS place FROM memories),
+h AS MATERIALIZED (SELECT t, id, place, coalesce(score, 0) AS score, list_distinct(list_concat(list_sort(list_distinct(list_transform(range(1, length(flat)), lambda i: substr(flat, i, 2))))[1:180], regexp_extract_all(flat, '[a-z0-9_]{{2,}}'),
+  list_transform(list_filter(coalesce(tags, []), lambda x: trim(x) <> ''), lambda x: 'tag:' || lower(trim(x))), CASE WHEN trim(source_plugin) <> '' THEN ['source:' || lower(trim(source_plugin))] ELSE [] END)) AS f FROM p WHERE place <= 32),
+v AS MATERIALIZED (SELECT t, id, place, f, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS rel FROM h WINDOW w AS (PARTITION BY t)),
+s AS MATERIALIZED (SELECT a.t, a.id AS a, b.id AS b, len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)))::DOUBLE AS sim FROM v a JOIN v b ON a.t = b.t AND a.id <> b.id),
+r AS (SELECT t, 1 AS k, [id] AS chosen FROM v WHERE place = 1 UNION ALL SELECT t, k + 1, list_append(chosen, best) FROM (
+  SELECT r.t, r.k, any_value(r.chosen) AS chosen, first(v.id ORDER BY 0.84 * v.rel - 0.16 * m.worst DESC, v.place) AS best FROM r JOIN v ON v.t = r.t AND NOT list_contains(r.chosen, v.id)
+  JOIN LATERAL (SELECT max(s.sim) AS worst FROM s WHERE s.t = r.t AND s.a = v.id AND list_contains(r.chosen, s.b)) m ON true WHERE r.k < 8 GROUP BY r.t, r.k)),
+c AS (SELECT t, arg_max(chosen, k) AS chosen FROM r GROUP BY t), o AS (SELECT p.*, list_position(chosen, id) AS pick, len(chosen) AS n FROM p JOIN c USING (t))
+SELECT t AS query_id, id, score, CASE WHEN pick > 0 THEN pick WHEN place > 32 THEN place ELSE n + row_number() OVER (PARTITION BY t, coalesce(pick, 0) > 0, place > 32 ORDER BY place) END::INT AS place FROM o""",
         "slot_classify": f"SELECT id, {_SLOT} AS slot FROM memories",
         "slot_allocation": f"""WITH c AS (SELECT id, {_SLOT} AS slot, importance AS score FROM memories), r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY score DESC, id) AS nth, CASE slot {bounds} END AS bound, CASE slot {places} END AS pos FROM c),
 f AS (SELECT *, CASE WHEN nth = 1 THEN 1 WHEN nth <= bound THEN 2 ELSE 3 END AS round FROM r WHERE nth <= 20), g AS (SELECT *, row_number() OVER (ORDER BY round, CASE WHEN round < 3 THEN pos ELSE 0 END, score DESC, id) AS place FROM f WHERE round < 3 OR slot NOT IN ('conversation_summary', 'self_timeline'))
