@@ -141,7 +141,7 @@ def _deliveries(spark, sf_dir):
 
 def delivery_acks(spark, sf_dir):
     events, sent, acks = _deliveries(spark, sf_dir)
-    return records.acknowledge(sent, acks.unionByName(acks), events, _now())
+    return records.acknowledge(sent, acks.unionByName(acks), events, _now()).withColumn("acked_at", F.col("acked_at").cast("timestamp_ntz"))
 
 
 def event_trace(spark, sf_dir):
@@ -157,7 +157,7 @@ def _scoped(spark, sf_dir) -> DataFrame:
 
 def namespace_erase(spark, sf_dir):
     out = records.erase_namespace(_scoped(spark, sf_dir), (F.col("namespace") == "group|bot_1") & F.col("record_id").startswith("mem_"))
-    return out.select("namespace", "record_kind", "record_id", "revision", F.length("payload").alias("n_chars"), "deleted")
+    return out.select("namespace", "record_kind", "record_id", "revision", F.length("payload").cast("bigint").alias("n_chars"), "deleted")
 
 
 def namespace_list(spark, sf_dir):
